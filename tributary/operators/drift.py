@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -203,35 +204,64 @@ def schema_changes(df: DataFrame, feed: str, file: str, payload: str, root: str,
     return joined.select("feed", "file", F.explode(rows).alias("r")).select("feed", "file", "r.*")
 
 
-def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: str, feed: str, file: str, max_paths: int = 2000) -> DataFrame:
+def rename_groups(unions: DataFrame, changes: DataFrame, root: str, max_names: int = 2000) -> list[list[str]]:
+    """Top-level names below ``root`` that are one field under several names, the oldest name first.
+
+    Names are joined along reported renames unless some file has two of them at once: these are two fields
+    there, and joining them would lose one. Names are schema, so they are collected, up to ``max_names``.
+    """
+    top = lambda c: F.col(c).rlike(rf"\A{re.escape(root)}\.[^.\[]+\z")
+    edges = changes.where((F.col("change_kind") == "renamed") & top("field_path")).groupBy("old_path", "field_path").agg(F.count("*").alias("n"))
+    found = edges.orderBy(F.col("n").desc(), "old_path", "field_path").limit(max_names).collect()
+    names = sorted({r["old_path"] for r in found} | {r["field_path"] for r in found})
+    if not names:
+        return []
+    here = F.array_intersect(F.map_keys("paths"), F.array(*[F.lit(n) for n in names]))
+    pairs = unions.select(here.alias("x")).distinct().select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a < b").distinct()
+    apart = {(r["a"], r["b"]) for r in pairs.collect()}
+    group = {n: [n] for n in names}
+    for r in found:
+        old, new = group[r["old_path"]], group[r["field_path"]]
+        if old is new or any((min(a, b), max(a, b)) in apart for a in old for b in new):
+            continue
+        old.extend(new)
+        for n in new:
+            group[n] = old
+    return [[n[len(root) + 1 :] for n in g] for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+
+
+def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: str, feed: str, file: str, max_paths: int = 2000, join_renames: bool = True) -> DataFrame:
     """All records as one table: ``keys``, ``record_id`` and, for each top-level path below ``root``, a text
     column ``<path>`` (canonical conversion) plus, where types conflict, typed branches ``<path>__<type>``.
 
-    The union's paths are collected to declare the table's columns; more than ``max_paths`` is an error, as
-    no table could have them. Objects and arrays are kept as JSON text. Names that differ from another column's
-    in letter case only, or equal a key's, get a number.
+    Names found to be renames of each other share the columns of the oldest one. The union's paths are
+    collected to declare the table's columns; more than ``max_paths`` is an error, as no table could have
+    them. Objects and arrays are kept as JSON text. Names that differ from another column's in letter case
+    only, or equal a key's, get a number.
     """
-    unions = file_unions(df, feed, file, payload, root)
+    unions = materialise(file_unions(df, feed, file, payload, root), "unions")
+    groups = rename_groups(unions, schema_changes(df, feed, file, payload, root, record_id), root) if join_renames else []
     fused = unions.select(F.explode("paths").alias("path", "bits")).groupBy("path").agg(F.bit_or("bits").alias("bits"))
     found = fused.where(~F.substring_index("path", f"{root}.", -1).rlike(r"[.\[]")).orderBy("path").limit(max_paths + 1).collect()
     if len(found) > max_paths:
         raise ValueError(f"more than {max_paths} paths below {root}")
-    doc = F.try_parse_json(F.col(payload))
-    columns = [F.try_variant_get(doc, f"$.{record_id}", "string").alias(record_id)]
-    taken = {c.lower() for c in [*keys, record_id]}
-    for row in found:
-        key = row["path"][len(root) + 1 :]
-        name = next(n for n in [key, *(f"{key}__{i}" for i in range(2, max_paths + 3))] if n.lower() not in taken)
+    bits = {r["path"][len(root) + 1 :]: r["bits"] for r in found}
+    later = {n for g in groups for n in g[1:]}
+    members = {n: [n] for n in bits if n not in later} | {g[0]: g for g in groups}
+    doc = F.col("__doc")
+    columns, taken = [F.try_variant_get(doc, f"$.{record_id}", "string").alias(record_id)], {c.lower() for c in [*keys, record_id]}
+    tests = {"string": "^STRING", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "number": "^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"}
+    for first in sorted(members):
+        name = next(n for n in [first, *(f"{first}__{i}" for i in range(2, max_paths + 3))] if n.lower() not in taken)
         taken.add(name.lower())
-        at = f'$.{root}["{key}"]'
-        text = F.try_variant_get(doc, at, "string")
-        columns.append(text.alias(name))
-        kinds = [t for t, bit in TYPES.items() if row["bits"] & bit]
-        if len(kinds) > 1:
-            tag = F.schema_of_variant(F.try_variant_get(doc, at, "variant"))
-            tests = {"string": tag == "STRING", "boolean": tag == "BOOLEAN", "object": tag.startswith("OBJECT"), "array": tag.startswith("ARRAY")}
-            tests["number"] = tag.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-            for t in kinds:
-                value = F.try_variant_get(doc, at, {"number": "double", "boolean": "boolean"}.get(t, "string"))
-                columns.append(F.when(tests[t], value).alias(f"{name}__{t}"))
-    return df.where(doc.isNotNull()).select(*keys, *columns)
+        at = [f"$.{root}['{m}']" for m in members[first]]
+        columns.append(F.coalesce(*[F.try_variant_get(doc, a, "string") for a in at]).alias(name))
+        kinds = [t for t, bit in TYPES.items() if any(bits.get(m, 0) & bit for m in members[first])]
+        if len(kinds) < 2:
+            continue
+        for t in kinds:
+            cast = {"number": "double", "boolean": "boolean"}.get(t, "string")
+            branch = [F.when(F.schema_of_variant(F.try_variant_get(doc, a, "variant")).rlike(tests[t]), F.try_variant_get(doc, a, cast)) for a in at]
+            columns.append(F.coalesce(*branch).alias(f"{name}__{t}"))
+    parsed = df.select(*keys, F.try_parse_json(F.col(payload)).alias("__doc")).where(F.schema_of_variant("__doc").startswith("OBJECT"))
+    return parsed.select(*keys, *columns)

@@ -14,41 +14,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOWEST, HIGHEST = -(2**63), 2**63 - 1
 #: Gap rows up to which the join may broadcast; beyond it gaps are joined by buckets.
 BROADCAST_GAPS = 200_000
 
 
-def merge_intervals(intervals: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint, ordered intervals; neighbours (``hi + 1 == lo``) are joined."""
-    merged: list[tuple[int, int]] = []
-    for lo, hi in sorted(i for i in intervals if i[0] <= i[1]):
-        if merged and lo <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
-
-
-def subtract_intervals(available: tuple[int, int], processed: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of ``available`` that no processed interval covers."""
-    gaps, at = [], available[0]
-    for lo, hi in merge_intervals(processed):
-        if lo > available[1]:
-            break
-        if lo > at:
-            gaps.append((at, lo - 1))
-        at = max(at, hi + 1)
-    if at <= available[1]:
-        gaps.append((at, available[1]))
-    return gaps
-
-
 def merged_by(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """Disjoint intervals ``lo, hi`` of each key, merged by one window over the (small) log."""
     ordered = Window.partitionBy(*keys).orderBy(lo, hi)
@@ -118,18 +92,68 @@ def unread_changes(
     return flagged.groupBy(*change).agg(F.min("__due").alias("__due")).where("__due").drop("__due")
 
 
+#: Numbers per block; intervals are merged block by block, then across the blocks' edges.
+BLOCK = 1 << 20
+#: Covered ranges, the longest ones, that are pushed down to the source as a filter.
+PUSHED_RANGES = 200
+
+
+def _block(number: Column) -> Column:
+    return F.floor(number / F.lit(BLOCK).cast("decimal(10,0)")).cast("long")
+
+
+def merge_table(intervals: DataFrame) -> DataFrame:
+    """Disjoint ``lo, hi`` from any ``lo, hi``: merged within blocks, then over the edges of blocks.
+
+    Only intervals that begin or end a block, at most two a block, meet in one task.
+    """
+    cut = intervals.where("lo <= hi").select("lo", "hi", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))).alias("b"))
+    first, last = F.col("b") * BLOCK, F.col("b") * BLOCK + (BLOCK - 1)
+    inner = merged_by(cut.select("b", F.greatest("lo", first).alias("lo"), F.least("hi", last).alias("hi")), ["b"], "lo", "hi")
+    edge = (F.col("lo") == first) | (F.col("hi") == last)
+    joined = merged_by(inner.where(edge).withColumn("all", F.lit(0)), ["all"], "lo", "hi").select("lo", "hi")
+    return inner.where(~edge).select("lo", "hi").unionByName(joined)
+
+
+def present_ranges(rows: DataFrame, sequence: str) -> DataFrame:
+    """Runs of consecutive numbers ``lo, hi`` that occur in ``rows``."""
+    numbers = rows.select(F.col(sequence).cast("long").alias("n")).where("n is not null").distinct().withColumn("b", _block(F.col("n")))
+    island = F.col("n") - F.row_number().over(Window.partitionBy("b").orderBy("n"))
+    return numbers.withColumn("i", island).groupBy("b", "i").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("lo", "hi")
+
+
+def not_covered(rows: DataFrame, sequence: str, covered: DataFrame) -> DataFrame:
+    """The rows whose number lies in none of the disjoint ``lo, hi`` of ``covered``.
+
+    The longest covered ranges become a filter that reaches the scan; what is left is checked in one ordered
+    pass per block, in which rows and intervals follow each other, so no pairs are formed.
+    """
+    longest = covered.orderBy((F.col("hi") - F.col("lo")).desc(), "lo").limit(PUSHED_RANGES).collect()
+    left = rows.where(F.col(sequence).isNotNull())
+    for r in longest:
+        left = left.where(~F.col(sequence).between(r["lo"], r["hi"]))
+    record = left.select(_block(F.col(sequence)).alias("b"), F.col(sequence).cast("long").alias("at"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("hi"), F.struct("*").alias("row"))
+    rest = covered.where(~F.col("lo").isin([r["lo"] for r in longest])) if longest else covered
+    cut = rest.select("hi", "lo", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))).alias("b"))
+    none = F.lit(None).cast(record.schema["row"].dataType)
+    cut = cut.select("b", F.greatest("lo", F.col("b") * BLOCK).alias("at"), F.lit(0).alias("tag"), "hi", none.alias("row"))
+    reach = F.max("hi").over(Window.partitionBy("b").orderBy("at", "tag").rowsBetween(Window.unboundedPreceding, 0))
+    seen = record.unionByName(cut).withColumn("reach", reach).where("tag = 1")
+    return seen.where(F.col("reach").isNull() | (F.col("reach") < F.col("at"))).select("row.*")
+
+
 class IntervalStore:
     """Committed output and processed intervals in one folder, published by one atomic rename.
 
-    A run writes its rows to ``data/<run>`` and then a commit file that holds the merged intervals and the
-    list of all published runs. Rows of a run without commit are never read, so a run that dies, at any
-    point, leaves neither gaps nor repeats behind: the next run finds the same gaps again.
+    A run writes its rows to ``data/<run>`` and the merged intervals to ``intervals/<run>``, and then a commit
+    file that names them. Rows of a run without commit are never read, so a run that dies, at any point,
+    leaves neither gaps nor repeats behind: the next run finds the same gaps again. Numbers never delivered
+    stay open for late commits. Two runs at once cannot both commit: the later one fails and publishes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._P = jvm.org.apache.hadoop.fs.Path
+        self._P = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._P(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._P(f"{self.path}/commits"))
 
@@ -137,7 +161,7 @@ class IntervalStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._P(f"{self.path}/commits"))]
         numbers = sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
         if not numbers:
-            return 0, {"intervals": [], "runs": []}
+            return 0, {"intervals": None, "runs": []}
         stream = self._fs.open(self._P(f"{self.path}/commits/{numbers[-1]:012d}.json"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -145,45 +169,41 @@ class IntervalStore:
             stream.close()
         return numbers[-1], json.loads(text)
 
-    def intervals(self) -> list[tuple[int, int]]:
-        return [tuple(i) for i in self._latest()[1]["intervals"]]
+    def _intervals(self, state: dict) -> DataFrame:
+        if state["intervals"] is None:
+            return self.spark.createDataFrame([], "lo bigint, hi bigint")
+        return self.spark.read.schema("lo bigint, hi bigint").parquet(f"{self.path}/intervals/{state['intervals']}")
+
+    def intervals(self) -> DataFrame:
+        """Processed sequence numbers as disjoint ``lo, hi``."""
+        return self._intervals(self._latest()[1])
 
     def read(self) -> DataFrame | None:
+        """The output of all committed runs."""
         runs = self._latest()[1]["runs"]
         return self.spark.read.parquet(*[f"{self.path}/data/{r}" for r in runs]) if runs else None
 
-    def process(self, source: DataFrame, sequence: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> list[tuple[int, int]]:
-        """Read the gaps of ``source``, write them transformed, and commit. Returns the ranges read.
+    def process(self, source: DataFrame, sequence: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> bool:
+        """Read what is due in ``source``, write it transformed, and commit. False if nothing was due.
 
-        The range taken is fixed before reading, so rows that arrive meanwhile stay due. A sequence number
-        must not be reused: a row that arrives later within a committed range is taken for processed.
+        The due rows are written down first, so output and intervals come from the same rows whatever arrives
+        meanwhile. A sequence number belongs to one record: rows that share a number are read in one run.
         """
         number, state = self._latest()
-        ends = source.agg(F.min(sequence).alias("a"), F.max(sequence).alias("b")).first()
-        if ends["a"] is None:
-            return []
-        gaps = subtract_intervals((ends["a"], ends["b"]), [tuple(i) for i in state["intervals"]])
-        present = [g for g in gaps]
-        if not present:
-            return []
-        due: Column = F.lit(False)
-        for lo, hi in present:
-            due = due | F.col(sequence).between(lo, hi)
+        done = self._intervals(state)
         run = f"run-{number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        rows = source.where(due)
-        seen = [r for r in self._sequences(rows, sequence)]
-        transform(rows).write.parquet(f"{self.path}/data/{run}")
-        merged = merge_intervals([*map(tuple, state["intervals"]), *seen])
-        self._commit(number + 1, {"intervals": merged, "runs": [*state["runs"], run]})
-        return present
-
-    def _sequences(self, rows: DataFrame, sequence: str) -> list[tuple[int, int]]:
-        """Runs of consecutive numbers that are present; numbers never delivered stay open for late commits."""
-        numbers = rows.select(F.col(sequence).cast("long").alias("n")).where("n is not null").distinct()
-        blocks = numbers.withColumn("b", F.floor(F.col("n") / 1_000_000))
-        island = F.col("n") - F.row_number().over(Window.partitionBy("b").orderBy("n"))
-        found = blocks.withColumn("i", island).groupBy("b", "i").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        return [(r["lo"], r["hi"]) for r in found.select("lo", "hi").toLocalIterator()]
+        staged = f"{self.path}/staged/{run}"
+        not_covered(source, sequence, done).write.parquet(staged)
+        due = self.spark.read.parquet(staged)
+        try:
+            if due.limit(1).count() == 0:
+                return False
+            transform(due).write.parquet(f"{self.path}/data/{run}")
+            merge_table(done.unionByName(present_ranges(due, sequence))).write.parquet(f"{self.path}/intervals/{run}")
+            self._commit(number + 1, {"intervals": run, "runs": [*state["runs"], run]})
+        finally:
+            self._fs.delete(self._P(staged), True)
+        return True
 
     def _commit(self, number: int, state: dict) -> None:
         target = self._P(f"{self.path}/commits/{number:012d}.json")
