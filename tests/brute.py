@@ -125,6 +125,8 @@ def drift(rows: list[tuple[int, int, str]]) -> set[tuple]:
                     out[p] = found if any(f is not None for f in found) else None
             return out
 
+        if not isinstance(record, dict):
+            continue
         values = visit(record.get("attributes"), "attributes")
         here[1].setdefault(json.dumps(record.get("id")), []).append(values)
     out = set()

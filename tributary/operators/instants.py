@@ -166,24 +166,25 @@ class InstantDictionary:
 
 
 def normalise(rows: DataFrame, dictionary: InstantDictionary, hot_share: int = 1000) -> DataFrame:
-    """``rows`` (with ``raw, zone, day_order``) plus ``epoch_us``.
+    """``rows`` (with ``raw, zone, day_order``) plus ``epoch_us``, which replaces a column of that name.
 
     Texts that make up more than one ``hot_share``-th of the rows are at most ``hot_share`` many, so these are
     broadcast; the other rows meet the dictionary in a shuffled join in which no key can be hot. Rows already
     answered are spread over the partitions of that join by a hash of their own.
     """
-    entries = dictionary.add(rows)
     keys = list(InstantDictionary.COLUMNS)
+    entries = dictionary.add(rows.select(*keys))
     pack = lambda: F.concat_ws("\x1f", *[F.coalesce(F.col(k), F.lit("\x1e")) for k in keys])
-    entries = entries.select(pack().alias("__key"), "n", "epoch_us")
+    entries = entries.select(pack().alias("key"), "n", "epoch_us")
     total = entries.agg(F.sum("n")).first()[0] or 0
     floor = max(1, total // hot_share)
-    hot = entries.where(F.col("n") > floor).select(F.col("__key").alias("__hot"), F.col("epoch_us").alias("__hot_us"))
-    marked = rows.withColumn("__key", F.when(F.col("raw").isNotNull(), pack()))
-    marked = marked.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
-    own = F.concat(F.lit("\x1d"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
-    marked = marked.withColumn("__key", F.when(F.col("__hot").isNotNull() | F.col("__key").isNull(), own).otherwise(F.col("__key")))
-    cold = entries.where(F.col("n") <= floor).select(F.col("__key").alias("__cold"), F.col("epoch_us").alias("__cold_us"))
-    joined = marked.join(cold, F.col("__key") == F.col("__cold"), "left")
-    us = F.when(F.col("__hot").isNotNull(), F.col("__hot_us")).otherwise(F.col("__cold_us"))
-    return joined.withColumn("epoch_us", us).drop("__key", "__hot", "__hot_us", "__cold", "__cold_us")
+    hot = entries.where(F.col("n") > floor).select(F.col("key").alias("hot"), F.col("epoch_us").alias("hot_us"))
+    cold = entries.where(F.col("n") <= floor).select(F.col("key").alias("cold"), F.col("epoch_us").alias("cold_us"))
+    kept = [c for c in rows.columns if c.lower() != "epoch_us"]
+    marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.when(F.col("raw").isNotNull(), pack()).alias("key"))
+    marked = marked.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    own = F.concat(F.lit("\x1d"), F.xxhash64("row").cast("string"))
+    marked = marked.withColumn("key", F.when(F.col("hot").isNotNull() | F.col("key").isNull(), own).otherwise(F.col("key")))
+    joined = marked.join(cold, F.col("key") == F.col("cold"), "left")
+    us = F.when(F.col("hot").isNotNull(), F.col("hot_us")).otherwise(F.col("cold_us"))
+    return joined.select("row", us.alias("epoch_us")).select("row.*", "epoch_us")

@@ -82,7 +82,7 @@ def unread_changes(
     range, and only rows in a gap are due; a change is due if all its rows are. One shuffle, on the change,
     with map-side aggregation. The log is joined with the loads present, a table of one row per load.
     """
-    usable = rows.where(F.col(at).isNotNull())
+    usable = rows.select(*dict.fromkeys([*change, load, at])).where(F.col(at).isNotNull())
     available = usable.groupBy(load).agg(F.min(at).alias(lo), F.max(at).alias(hi))
     runs = log.select(F.col(log_load).alias("__run"), F.col(lo).cast("long"), F.col(hi).cast("long"))
     runs = runs.where(F.col(lo) <= F.col(hi)).distinct()
