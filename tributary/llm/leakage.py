@@ -1,7 +1,7 @@
 """Evaluation texts inside a training corpus, found by windows of normalised text.
 
 Text is lower-cased and reduced to letters and digits. A document and an item share ``run`` consecutive
-characters only if one of the item's grams of half that length starts at a document position that is a
+characters only if one of the item's grams of half that length (or less) starts at a document position that is a
 multiple of ``stride = run - gram + 1``. So the item grams at all positions form a hash set, which is
 broadcast after a count of its rows, the document is cut into tiles of ``stride`` characters, and each tile
 is one lookup. A hit is verified within the tiles around it, character by character. Nothing is missed.
@@ -34,6 +34,8 @@ def normalise(text: Column) -> Column:
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = RUN, gram: int = GRAM, max_grams: int = MAX_GRAMS) -> DataFrame:
     """Distinct ``doc_id, item_id`` of documents and items that share ``run`` characters once normalised."""
     stride = run - gram + 1
+    if not 1 <= gram <= stride or doc_id == item_id:
+        raise ValueError("a gram has at most half the run's characters, and doc_id and item_id differ")
     whole = items.select(F.col(item_id).alias("__item"), normalise(F.col(item_text)).alias("__t")).where(F.length("__t") >= run).distinct()
     starts = whole.select("__item", "__t", F.explode(F.sequence(F.lit(1), F.length("__t") - gram + 1)).alias("__at"))
     grams = starts.select(F.xxhash64(F.col("__t").substr(F.col("__at"), F.lit(gram))).alias("__h"), "__item", "__at")
