@@ -77,8 +77,8 @@ class Expression:
 def next_shape(below: Column, level: int) -> Column:
     """A value's shape at level 1, 2 or 3 from its shape one level below (level 4 is the same for all)."""
     if level == 1:
-        one = F.regexp_replace(F.regexp_replace(below, "[a-z]+", "a"), "[A-Z]+", "A")
-        return F.regexp_replace(F.regexp_replace(one, "[0-9]+", "9"), r"[\p{L}\p{M}&&[^a-zA-Z]]+", "L")
+        one = F.regexp_replace(F.regexp_replace(F.regexp_replace(below, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
+        return F.when(F.length(below) == F.octet_length(below), one).otherwise(F.regexp_replace(one, r"[\p{L}\p{M}&&[^a-zA-Z]]+", "L"))
     return F.regexp_replace(below, "[aA9L]+", "w") if level == 2 else F.regexp_replace(below, r"w(?:[._+\-]+w)+", "x")
 
 
@@ -92,21 +92,20 @@ def induce(values: DataFrame, rules: list[ColumnRule]) -> list[Expression]:
     conforms = F.lit(None).cast("boolean")
     for r in rules:
         conforms = F.when(F.col("column_name") == r.name, v.rlike(r.whole())).otherwise(conforms)
-    shaped = values.where(v.isNotNull())
-    for level in (1, 2, 3):
-        shaped = shaped.select("*", next_shape(v if level == 1 else F.col(f"s{level - 1}"), level).alias(f"s{level}"))
-    base = shaped.select(
-        "column_name", "s1", "s2", "s3", conforms.cast("long").alias("ok"),
-        F.length(v).alias("l"), F.length(F.regexp_replace(v, "[0-9]", "")).alias("l9"),
-        F.length(F.regexp_replace(v, r"[\p{L}\p{M}0-9]", "")).alias("lw"),
-    )
-    runs = lambda s, marks: F.length(F.regexp_replace(F.col(s), f"[^{marks}]", "")) * RUN
-    b1 = (F.col("l") - F.col("l9")) * DIGIT + (F.col("l9") - F.col("lw")) * LETTER + runs("s1", "aA9L")
-    b2 = (F.col("l") - F.col("lw")) * ALNUM + runs("s2", "w")
-    marks3 = F.length(F.regexp_replace(F.col("s3"), "[wx]", ""))
-    b3 = (F.col("l") - marks3) * JOINED + runs("s3", "wx")
-    costs = [F.sum(b).alias(f"b{i}") for i, b in ((1, b1), (2, b2), (3, b3), (4, F.col("l") * ANY + 2 * RUN))]
-    leaves = materialise(base.groupBy("column_name", "s3", "s2", "s1").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), *costs), "shapes")
+    known = values.where(v.isNotNull())
+    digits = F.length(v) - F.length(F.translate(v, "0123456789", ""))
+    first = known.select("column_name", next_shape(v, 1).alias("s1"), conforms.cast("long").alias("ok"), F.length(v).alias("l"), digits.alias("d"))
+    first = first.groupBy("column_name", "s1").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), F.sum("l").alias("l"), F.sum("d").alias("d"))
+    shaped = first.select("*", next_shape(F.col("s1"), 2).alias("s2"))
+    shaped = shaped.select("*", next_shape(F.col("s2"), 3).alias("s3"))
+    # all but digits and letters is in the shapes, so what is left follows from the sums
+    kept = lambda s, marks: F.col("n") * F.length(F.regexp_replace(F.col(s), f"[{marks}]", ""))
+    runs = lambda s, marks: F.col("n") * F.length(F.regexp_replace(F.col(s), f"[^{marks}]", "")) * RUN
+    b1 = F.col("d") * DIGIT + (F.col("l") - F.col("d") - kept("s1", "aA9L")) * LETTER + runs("s1", "aA9L")
+    b2 = (F.col("l") - kept("s2", "w")) * ALNUM + runs("s2", "w")
+    b3 = (F.col("l") - kept("s3", "wx")) * JOINED + runs("s3", "wx")
+    costs = [b1.alias("b1"), b2.alias("b2"), b3.alias("b3"), (F.col("l") * ANY + F.col("n") * 2 * RUN).alias("b4")]
+    leaves = materialise(shaped.select("column_name", "s3", "s2", "s1", "n", "ok", *costs), "shapes")
     totals = leaves.groupBy("column_name").agg(F.sum("n").alias("total"))
     node = leaves.join(F.broadcast(totals), "column_name").withColumn("best", _cost(F.col("s1"), "b1")).withColumn("keep", F.lit(1).cast("long"))
     tables = {1: node}
@@ -186,15 +185,15 @@ class Profile:
         known = [F.col(f"s{i}_{r.name}") for i in (1, 2, 3)]
         return F.coalesce(nonconforming(v, known, r, self.model), F.lit(False)) if r.form else F.lit(False)
 
-    def _shaped(self) -> DataFrame:
-        """The rows with the shapes of their values; levels that build on each other are separate projections."""
+    def _shaped(self, rules: list[ColumnRule]) -> DataFrame:
+        """The rows with the shapes of their values, up to the levels that the model uses, a projection per level."""
         steps = self.df
         for level in (1, 2, 3):
             more = []
-            for r in (r for r in self.rules if r.form):
+            for r in (r for r in rules if r.form and any(level <= e.level < 4 for e in self.model if e.column == r.name)):
                 below = F.col(f"c_{r.name}").cast("string") if level == 1 else F.col(f"s{level - 1}_{r.name}")
                 more.append(next_shape(below, level).alias(f"s{level}_{r.name}"))
-            steps = steps.select("*", *more)
+            steps = steps.select("*", *more) if more else steps
         return steps
 
     def _number(self, r: ColumnRule) -> Column:
@@ -210,18 +209,18 @@ class Profile:
         high = F.lit(False) if r.highest is None else n > r.highest
         return F.coalesce(low | high, F.lit(False))
 
-    def _judged(self) -> DataFrame:
-        """Per row, an array of ``column_name, finding, number``; finding NULL for a sound number of a distribution."""
+    def _judged(self, rules: list[ColumnRule]) -> DataFrame:
+        """Per row and column ``column_name, finding, number``; finding NULL for a sound number of a distribution."""
         parts = []
-        for r in self.rules:
+        for r in rules:
             v = F.col(f"c_{r.name}")
             finding = F.when(self._bad_form(r), F.lit("pattern")).when(self._beyond(r), F.lit("range"))
             number = F.when(v.isNotNull(), self._number(r)) if r.distribution else F.lit(None).cast("double")
             parts.append(F.struct(F.lit(r.name).alias("column_name"), finding.alias("finding"), number.alias("number")))
-        return self._shaped().select("load", "key", F.explode(F.array(*parts)).alias("j")).select("load", "key", "j.*")
+        return self._shaped(rules).select("load", "key", F.explode(F.array(*parts)).alias("j")).select("load", "key", "j.*")
 
     def row_findings(self) -> DataFrame:
-        return self._judged().where(F.col("finding").isNotNull()).select("load", "column_name", "finding", "key")
+        return self._judged(self.rules).where(F.col("finding").isNotNull()).select("load", "column_name", "finding", "key")
 
     def aggregates(self) -> DataFrame:
         """``load, column_name, n_rows, n_null, n_distinct, lowest, highest`` (texts) of every column."""
@@ -244,7 +243,7 @@ class Profile:
                     names.append(F.try_element_at(F.create_map(*pairs), F.col(f"s{level}_{r.name}")))
             names.append(F.when(F.col(f"c_{r.name}").isNotNull(), F.lit(r"(?s).*")))
             parts.append(F.struct(F.lit(r.name).alias("column_name"), F.coalesce(*names).alias("expression")))
-        long = self._shaped().select("load", F.explode(F.array(*parts)).alias("p")).select("load", "p.*").where(F.col("expression").isNotNull())
+        long = self._shaped([r for r in self.rules if r.form]).select("load", F.explode(F.array(*parts)).alias("p")).select("load", "p.*").where(F.col("expression").isNotNull())
         counts = long.groupBy("load", "column_name", "expression").agg(F.count("*").alias("n_rows"))
         total = F.sum("n_rows").over(Window.partitionBy("load", "column_name"))
         shares = counts.withColumn("share", F.col("n_rows") / total)
@@ -269,8 +268,11 @@ class Profile:
         Distinct values are counted first. Sums up to a value are the sums of all lower buckets plus the
         running sum within the value's own bucket, so neither a load nor a column is summed in one task.
         """
-        sound = self._judged().where("finding is null and number is not null")
-        counts = sound.groupBy("column_name", "load", F.col("number").alias("v")).agg(F.count("*").alias("n"))
+        spread = [r for r in self.rules if r.distribution]
+        if not spread:
+            return self.df.select("load", F.lit("").alias("column_name"), F.lit("").alias("finding")).limit(0)
+        sound = self._judged(spread).where("finding is null and number is not null")
+        counts = materialise(sound.groupBy("column_name", "load", F.col("number").alias("v")).agg(F.count("*").alias("n")), "counts")
         loads = self.df.select("load").distinct().withColumn("next", F.lead("load").over(Window.orderBy(F.col("load").asc_nulls_first())))
         loads = loads.withColumn("last", F.col("next").isNull())
         span = counts.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
