@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.runtime import materialise
+
 #: Gap rows up to which the join may broadcast; beyond it gaps are joined by buckets.
 BROADCAST_GAPS = 200_000
 
@@ -87,7 +89,7 @@ def unread_changes(
     runs = log.select(F.col(log_load).alias("__run"), F.col(lo).cast("long"), F.col(hi).cast("long"))
     runs = runs.where(F.col(lo) <= F.col(hi)).distinct()
     seen = available.select(load).join(runs, F.col("__run") >= F.col(load)).select(load, lo, hi)
-    gaps = gaps_by(merged_by(seen, [load], lo, hi), available, load, lo, hi)
+    gaps = materialise(gaps_by(merged_by(seen, [load], lo, hi), available, load, lo, hi), "gaps")
     flagged = flag_in_gaps(usable, gaps, load, at, lo, hi, "__due")
     return flagged.groupBy(*change).agg(F.min("__due").alias("__due")).where("__due").drop("__due")
 
