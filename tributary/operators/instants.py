@@ -47,7 +47,7 @@ FORMATS = {
     "yearfirst": (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?:[Tt]| +){_CLOCK}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
 }
 _SLASHES = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? +{_CLOCK}{_ZONE}$"
-_NUMBER = r"^[+-]?\d{1,20}(?:\.\d*)?$"
+_NUMBER = r"^\+?\d{1,19}(?:\.\d*)?$"
 
 
 def number_unit(value: Column) -> Column:
@@ -58,26 +58,22 @@ def number_unit(value: Column) -> Column:
     return out
 
 
+def _div(value: Column, by: int) -> Column:
+    return F.call_function("div", value, F.lit(by).cast("long"))
+
+
 def integer_to_us(value: Column) -> Column:
     """Microseconds of a bigint in whichever unit ``number_unit`` finds, in 64-bit arithmetic."""
     unit = number_unit(value)
     return (
         F.when(unit == "s", value * F.lit(1_000_000)).when(unit == "ms", value * F.lit(1000))
-        .when(unit == "us", value).when(unit == "ns", F.floor(value / F.lit(1000).cast("decimal(4,0)")))
+        .when(unit == "us", value).when(unit == "ns", _div(value, 1000))
     ).cast("long")
 
 
 def integer_to_seconds(value: Column) -> Column:
     """Whole seconds of a bigint in any unit, NULL if it is no time."""
-    us = integer_to_us(value)
-    return F.floor(us / F.lit(1_000_000).cast("decimal(7,0)")).cast("long")
-
-
-def _decimal_us(text: Column) -> Column:
-    number = text.try_cast("decimal(38,9)")
-    unit = number_unit(number)
-    scaled = F.when(unit == "s", number * 1_000_000).when(unit == "ms", number * 1000).when(unit == "us", number)
-    return F.floor(F.when(unit == "ns", number / 1000).otherwise(scaled.cast("decimal(38,9)"))).cast("long")
+    return _div(integer_to_us(value), 1_000_000)
 
 
 def parse_instants(df: DataFrame, raw: str = "raw", zone: str = "zone", day_order: str = "day_order") -> DataFrame:
@@ -90,11 +86,19 @@ def parse_instants(df: DataFrame, raw: str = "raw", zone: str = "zone", day_orde
     slash = F.when(order == "mdy", F.regexp_replace(text, _SLASHES, "$3|$1|$2|$4|$5|$6|$7|$8|$9")).when(
         order == "dmy", F.regexp_replace(text, _SLASHES, "$3|$2|$1|$4|$5|$6|$7|$8|$9")
     )
-    parts = F.when(text.rlike(_SLASHES), slash)
+    number = text.rlike(_NUMBER)
+    parts = F.when(number, F.lit(None)).when(text.rlike(_SLASHES), slash)
     for pattern, groups in FORMATS.values():
         parts = parts.when(text.rlike(pattern), F.regexp_replace(text, pattern, groups))
-    number = F.when(text.rlike(_NUMBER), _decimal_us(text))
-    step = df.select(*columns, number.alias("__n"), F.split(parts, r"\|").alias("__p"))
+    whole, fraction = F.substring_index(text, ".", 1), F.rpad(F.when(text.contains("."), F.substring_index(text, ".", -1)).otherwise(""), 6, "0")
+    step = df.select(
+        *columns, F.when(number, whole.try_cast("long")).alias("__i"), F.when(number, fraction).alias("__fr"), F.split(parts, r"\|").alias("__p")
+    )
+    digits_of = {"s": F.col("__fr"), "ms": F.substring("__fr", 1, 3)}
+    step = step.select(*columns, "__i", "__fr", "__p", number_unit(F.col("__i")).alias("__u"))
+    us = F.when(F.col("__u") == "s", F.col("__i") * 1_000_000 + digits_of["s"].try_cast("long"))
+    us = us.when(F.col("__u") == "ms", F.col("__i") * 1000 + digits_of["ms"].try_cast("long")).when(F.col("__u") == "us", F.col("__i"))
+    step = step.select(*columns, us.when(F.col("__u") == "ns", _div(F.col("__i"), 1000)).alias("__n"), "__p")
     p = F.col("__p")
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
     integer = lambda c: c.try_cast("int")
