@@ -179,6 +179,8 @@ def test_unread_changes(spark):
     log = spark.createDataFrame([(1, 5, 10), (1, 5, 10), (3, 30, 30), (3, 9, 4), (2, None, 99), (1, 12, 12)], "dt int, lo long, hi long")
     got = {tuple(r) for r in unread_changes(rows, ["id", "at"], "dt", "at", log, "dt", "lo", "hi").collect()}
     assert got == {(2, 11), (3, 12), (None, 12), (6, 12)}
+    lost = spark.createDataFrame([(8, 10, None, "x")], rows.schema)
+    assert [tuple(r) for r in unread_changes(lost, ["id", "at"], "dt", "at", log, "dt", "lo", "hi").collect()] == [(8, 10)]
     empty = log.limit(0)
     assert unread_changes(rows, ["id", "at"], "dt", "at", empty, "dt", "lo", "hi").count() == 6
     assert unread_changes(rows.limit(0), ["id", "at"], "dt", "at", log, "dt", "lo", "hi").count() == 0

@@ -23,6 +23,8 @@ from tributary.runtime import materialise
 
 #: Gap rows up to which the join may broadcast; beyond it gaps are joined by buckets.
 BROADCAST_GAPS = 200_000
+#: Loads in one table, each with its own set of intervals.
+MAX_LOADS = 20_000
 
 
 def merged_by(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -65,13 +67,13 @@ def flag_in_gaps(df: DataFrame, gaps: DataFrame, key: str, at: str, lo: str, hi:
     """
     g = gaps.select(F.col(key).alias("__k"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
     if g.limit(BROADCAST_GAPS + 1).count() <= BROADCAST_GAPS:
-        on = (F.col(key) == F.col("__k")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
-        return df.join(F.broadcast(g), on, "left").withColumn(flag, F.col("__k").isNotNull()).drop("__k", "__lo", "__hi")
+        on = F.col(key).eqNullSafe(F.col("__k")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
+        return df.join(F.broadcast(g), on, "left").withColumn(flag, F.col("__lo").isNotNull()).drop("__k", "__lo", "__hi")
     reach = g.agg(F.min("__lo").alias("a"), F.max("__hi").alias("b"), F.count("*").alias("n")).first()
     width = max(1, (reach["b"] - reach["a"]) // reach["n"])
     cut = g.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
-    on = (F.col(key) == F.col("__k")) & (F.floor(F.col(at) / width) == F.col("__bucket")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
-    return df.join(cut, on, "left").withColumn(flag, F.col("__k").isNotNull()).drop("__k", "__lo", "__hi", "__bucket")
+    on = F.col(key).eqNullSafe(F.col("__k")) & (F.floor(F.col(at) / width) == F.col("__bucket")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
+    return df.join(cut, on, "left").withColumn(flag, F.col("__lo").isNotNull()).drop("__k", "__lo", "__hi", "__bucket")
 
 
 def unread_changes(
@@ -82,13 +84,18 @@ def unread_changes(
     A run of load ``log_load`` saw the loads up to its own, so the intervals that count for a load are those
     of runs not before it. For each load present they are merged, subtracted from the load's available
     range, and only rows in a gap are due; a change is due if all its rows are. One shuffle, on the change,
-    with map-side aggregation. The log is joined with the loads present, a table of one row per load.
+    with map-side aggregation. Only the names of the loads are collected, up to ``MAX_LOADS``. Rows of a NULL
+    load were seen by no run.
     """
     usable = rows.select(*dict.fromkeys([*change, load, at])).where(F.col(at).isNotNull())
     available = usable.groupBy(load).agg(F.min(at).alias(lo), F.max(at).alias(hi))
     runs = log.select(F.col(log_load).alias("__run"), F.col(lo).cast("long"), F.col(hi).cast("long"))
     runs = runs.where(F.col(lo) <= F.col(hi)).distinct()
-    seen = available.select(load).join(runs, F.col("__run") >= F.col(load)).select(load, lo, hi)
+    known = [r[0] for r in available.select(load).where(F.col(load).isNotNull()).limit(MAX_LOADS + 1).collect()]
+    if len(known) > MAX_LOADS:
+        raise ValueError(f"more than {MAX_LOADS} loads; split the rows by load")
+    loads = F.filter(F.array(*[F.lit(x) for x in sorted(known)]), lambda x: x <= F.col("__run")) if known else F.array().cast("array<int>")
+    seen = runs.select(F.explode(loads).alias(load), lo, hi)
     gaps = materialise(gaps_by(merged_by(seen, [load], lo, hi), available, load, lo, hi), "gaps")
     flagged = flag_in_gaps(usable, gaps, load, at, lo, hi, "__due")
     return flagged.groupBy(*change).agg(F.min("__due").alias("__due")).where("__due").drop("__due")

@@ -19,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.runtime import broadcast_within, materialise
+
 MIN_SCORE = 0.25
+#: Sources whose delimiters may be broadcast.
+MAX_SOURCES = 200_000
 
 #: Fixed grammar: item characters outside quotes, a quoted item, and the brackets that may wrap a cell.
 ITEM = r"\p{L}\p{M}\p{N}_\-. "
@@ -101,12 +105,12 @@ def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimit
     """``keys, pos, item_text``: one row per non-empty item of ``cell``, positions 0-based over all items.
 
     Rows that agree in ``keys`` count once; if their cells differ, the least cell is taken. ``delimiters`` is
-    a table as of ``infer_delimiters``, inferred from ``df`` by default. It is grouped to one row per source
-    and joined as Spark finds fit (by broadcast only while small at run time).
+    a table as of ``infer_delimiters``, inferred from ``df`` by default. It is grouped to one row per source,
+    counted, and broadcast up to ``MAX_SOURCES``; beyond that the join shuffles.
     """
     found = infer_delimiters(df, source, cell) if delimiters is None else delimiters
     marks = F.array_join(F.array_sort(F.collect_set(F.when(F.col("chosen"), F.col("delimiter")))), "")
-    sets = found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d"))
+    sets = broadcast_within(materialise(found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d")), "delimiters"), MAX_SOURCES)
     once = df.groupBy(*keys).agg(F.min(F.struct(F.col(cell).alias("__c"), F.col(source).alias("__s"))).alias("__x"))
     rows = once.select(*keys, F.col("__x.__s").alias("__src"), unwrap(F.col("__x.__c")).alias("__cell")).where("__cell <> ''")
     joined = rows.join(sets, F.col("__src").eqNullSafe(F.col("__s")), "left")

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.runtime import materialise
+from tributary.runtime import broadcast_within, materialise
 
 #: Expressions of a column beyond which a node of the ladder gives way to the next one up.
 MAX_EXPRESSIONS = 256
@@ -34,6 +34,8 @@ MODEL_BITS = 12.0
 LETTER, DIGIT, ALNUM, JOINED, ANY, RUN = math.log2(26), math.log2(10), math.log2(62), math.log2(66), 8.0, 4.0
 #: Ranges into which the values of a distribution are cut, so that no task sums up a whole load.
 BUCKETS = 512
+#: Loads whose names may be broadcast.
+MAX_LOADS = 200_000
 
 #: Fixed meaning of the marks in a shape.
 MARKS = {"a": "[a-z]+", "A": "[A-Z]+", "9": "[0-9]+", "L": r"\p{L}+", "w": r"[\p{L}0-9]+", "x": r"[\p{L}0-9]+(?:[._+\-]+[\p{L}0-9]+)+"}
@@ -276,7 +278,7 @@ class Profile:
         loads = self.df.select("load").distinct().withColumn("next", F.lead("load").over(Window.orderBy(F.col("load").asc_nulls_first())))
         loads = loads.withColumn("last", F.col("next").isNull())
         span = counts.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        counts = counts.join(F.broadcast(span), "column_name").join(F.broadcast(loads), counts["load"].eqNullSafe(loads["load"])).drop(loads["load"])
+        counts = counts.join(F.broadcast(span), "column_name").join(broadcast_within(loads, MAX_LOADS), counts["load"].eqNullSafe(loads["load"])).drop(loads["load"])
         place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1))).otherwise(0)
         here = F.struct(F.col("load").alias("pair"), F.col("n").alias("cur"), F.lit(0).cast("long").alias("old"))
         ahead = F.struct(F.col("next").alias("pair"), F.lit(0).cast("long").alias("cur"), F.col("n").alias("old"))
