@@ -10,7 +10,7 @@ Defined results
 * An item longer than the capacity fills containers of its own and leaves one remainder, which is packed like
   an item. No other item is split. ``piece`` numbers the pieces, ``from_token`` and ``n_tokens`` locate them.
 * NULL and empty texts have no tokens; they are placed like any item and take no space.
-* Repeated rows are items of their own. Ties in size are taken by id, so the result is the same every run.
+* Repeated rows are items of their own. Ties in size are taken by id, so the same files give the same result.
 * Lone surrogates are counted as the replacement character.
 """
 
@@ -27,8 +27,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_ITEMS = 50_000
 #: Fixed pattern of the byte-level tokenizer's first split.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Characters handed to the tokenizer at once.
-BATCH_CHARS = 4_000_000
 
 _loaded: dict = {}
 
@@ -111,7 +109,8 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int, shard_items: int
         raise ValueError("capacity must be at least 1")
     shards = max(1, -(-sizes.count() // shard_items))
     source = sizes.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("n"))
-    source = source.withColumn("shard", F.pmod(F.xxhash64("item", "n"), F.lit(shards)).cast("long"))
+    # the row's place spreads repeated rows, too, so that no shard grows beyond its share
+    source = source.withColumn("shard", F.pmod(F.xxhash64("item", "n", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
 
     def fill(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["item"].to_pylist(), table["n"].to_pylist()), key=lambda r: (r[0] is None, r[0]))
