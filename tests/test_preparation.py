@@ -96,6 +96,11 @@ def test_drift_edge_cases(spark):
     assert (1, 4, "removed", "attributes.a", "") in got and (1, 4, "added", "attributes.c", "") in got
     assert (1, 4, "type_changed", "attributes.b", "") in got and not any(c[3] == "attributes.n" for c in got)
     assert changes(spark, []) == set()
+    deep = '{"id": 1, "attributes": ' + '{"a":' * 3000 + "1" + "}" * 3001
+    long = line(1, a="x" * 300_000, b=[{"c": i} for i in range(5000)])
+    assert changes(spark, [(1, 1, deep), (1, 1, '{"id": 1, "attributes": {"z": NaN}}'), (1, 1, long), (1, 2, line(1, d="x" * 300_000, b=[]))]) == {
+        (1, 2, "renamed", "attributes.d", "attributes.a"), (1, 2, "removed", "attributes.b[].c", ""),
+    }
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -154,6 +159,9 @@ def test_profile_edges(spark):
     assert profile(spark, [], RULES).findings().collect() == []
     same = profile(spark, [(None, 1, None, None, "x"), (5, 2, "", 1, "x"), (5, 2, "", 1, "x"), (5, 3, "x" * 200_000, 1, "x")], RULES)
     assert sorted(tuple(r) for r in same.row_findings().collect()) == [(5, "v", "pattern", 2), (5, "v", "pattern", 2)]
+    odd = [ColumnRule("v", form=queries.MOCK_RULES[0].form)]
+    chain = "a@b" + ".c" * 100_000
+    assert profile(spark, [(1, 1, chain, 1, ""), (1, 2, chain + "!", 1, ""), (1, 3, "." * 100_000, 1, "")], odd).row_findings().count() == 2
     assert {tuple(r)[1:3] for r in same.load_findings().collect()} == {("v", "null_rate"), ("n", "null_rate")}
 
 
@@ -303,6 +311,7 @@ STAMPS = [
     ("Jul 1, 2023 12:05:00 AM", "UTC", "dmy", "2023-07-01 00:05:00"), ("Jul 1, 2023 12:05:00 PM", "UTC", "dmy", "2023-07-01 12:05:00"), ("Jul 1, 2023 13:05:00 PM", "UTC", "dmy", None),
     ("2023-02-29 10:00:00", "UTC", "dmy", None), ("2024-02-29 10:00:00", "UTC", "dmy", "2024-02-29 10:00:00"), ("2023-07-01 24:00:00", "UTC", "dmy", None), ("2023-07-01", "UTC", "dmy", None),
     ("99:99", "UTC", "dmy", None), ("", "UTC", "dmy", None), (None, "UTC", "dmy", None), ("0", "UTC", "dmy", None), ("-1600000000", "UTC", "dmy", None), ("x" * 100_000, "UTC", "dmy", None),
+    ("2023-07-01 10:00:00 A" + "/A" * 50_000, "UTC", "dmy", None), ("9" * 100_000, "UTC", "dmy", None),
 ]
 
 

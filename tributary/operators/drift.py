@@ -8,7 +8,8 @@ files into one table in which a path with conflicting types has a typed branch p
 canonical text.
 
 Defined results
-* Lines that are no valid JSON (NULL, blank, cut off) are ignored, and so is JSON that is no object.
+* Lines that are no valid JSON (NULL, blank, cut off) are ignored, and so is JSON that is no object or is
+  nested more than ``MAX_DEPTH`` levels deep.
 * A key exists if any record has it, be its value NULL. A file without any valid line has no paths.
 * Repeated lines change nothing. A key with a dot in its name reads like a deeper path.
 * Several paths may be renames of one: every pair that meets the definition is reported.
@@ -30,6 +31,8 @@ from tributary.runtime import materialise
 
 #: Bit of each JSON type in a union; 0 is null.
 TYPES = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
+#: Levels of nesting beyond which a line counts as invalid.
+MAX_DEPTH = 400
 #: Parts over which the records of one file are spread when their values are compared.
 SALT = 16
 
@@ -48,22 +51,37 @@ def _type_bit(value) -> int:
 
 def _walk(value, path: str, out: dict) -> None:
     """OR the type of every key below ``value`` into ``out``."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            p = f"{path}.{k}"
-            out[p] = out.get(p, 0) | _type_bit(v)
-            if isinstance(v, (dict, list)):
-                _walk(v, p, out)
-    else:
-        for v in value:
-            if isinstance(v, (dict, list)):
-                _walk(v, f"{path}[]", out)
+    todo = [(value, path)]
+    while todo:
+        value, path = todo.pop()
+        if isinstance(value, dict):
+            for k, v in value.items():
+                p = f"{path}.{k}"
+                out[p] = out.get(p, 0) | _type_bit(v)
+                if isinstance(v, (dict, list)):
+                    todo.append((v, p))
+        else:
+            todo += [(v, f"{path}[]") for v in value if isinstance(v, (dict, list))]
+
+
+def _too_deep(text: str) -> bool:
+    if text.count("{") + text.count("[") <= MAX_DEPTH:
+        return False
+    depth = most = 0
+    for c in re.sub(r'"[^"\\]*(?:\\.[^"\\]*)*"', "", text):
+        depth += (c in "{[") - (c in "}]")
+        most = max(most, depth)
+    return most > MAX_DEPTH
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is no JSON")
 
 
 def _record(payload: str | None):
     try:
-        record = json.loads(payload)
-    except (TypeError, ValueError, RecursionError):
+        record = None if payload is None or _too_deep(payload) else json.loads(payload, parse_constant=_no_number)
+    except ValueError:
         return None
     return record if isinstance(record, dict) else None
 

@@ -36,7 +36,7 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 _MONTH = r"([A-Za-z]{3})[a-z]*\.?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: *([AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
-_ZONE = r"(?: *([+-]\d{2}(?::?\d{2})?|[A-Za-z]{1,5}|[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+))?"
+_ZONE = r"(?: *([+-]\d{2}(?::?\d{2})?|[A-Za-z]{1,5}|[A-Za-z_]++(?:/[A-Za-z_+\-0-9]++)++))?"
 #: Fixed formats, with the order in which their groups give year, month, day, hour, minute, second, fraction, half, zone.
 FORMATS = {
     "iso": (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[Tt]| +){_CLOCK}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),

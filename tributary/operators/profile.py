@@ -43,7 +43,10 @@ MARKS = {"a": "[a-z]+", "A": "[A-Z]+", "9": "[0-9]+", "L": r"\p{L}+", "w": r"[\p
 
 @dataclass(frozen=True)
 class ColumnRule:
-    """What is declared of a column; ``form`` is a regular expression for the whole value."""
+    """What is declared of a column; ``form`` is a regular expression for the whole value.
+
+    Repeated groups in a form should be possessive (``(...)++``), or very long values exhaust the matcher's stack.
+    """
 
     name: str
     form: str | None = None
@@ -81,7 +84,7 @@ def next_shape(below: Column, level: int) -> Column:
     if level == 1:
         one = F.regexp_replace(F.regexp_replace(F.regexp_replace(below, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
         return F.when(F.length(below) == F.octet_length(below), one).otherwise(F.regexp_replace(one, r"[\p{L}\p{M}&&[^a-zA-Z]]+", "L"))
-    return F.regexp_replace(below, "[aA9L]+", "w") if level == 2 else F.regexp_replace(below, r"w(?:[._+\-]+w)+", "x")
+    return F.regexp_replace(below, "[aA9L]+", "w") if level == 2 else F.regexp_replace(below, r"w(?:[._+\-]++w)++", "x")
 
 
 def _cost(shape: Column, bits: str, total: str = "total") -> Column:

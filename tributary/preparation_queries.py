@@ -14,7 +14,7 @@ from tributary.operators.profile import ColumnRule, Profile
 from tributary.runtime import read_table
 
 MOCK_RULES = [
-    ColumnRule("email", form=r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ColumnRule("email", form=r"[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ColumnRule("gender", form="[FM]", order=("F", "M"), distribution=True),
     ColumnRule("latitude", form=r"-?[0-9]+(?:\.[0-9]+)?", lowest=-90, highest=90, distribution=True),
     ColumnRule("version", lowest=1, highest=99, distribution=True),
