@@ -240,6 +240,7 @@ def test_garbled_edges(spark, corpus):
     assert judge("Gr��e") == ([LOST], "Gr��e")
     long = "fällt " * 50_000
     assert judge(long) is None and judge(long + "fÃ¤llt")[1] == long + "fällt"
+    assert judge("x" * 3_000_000 + "9" * 1_000_000) is None and judge("x1" * 500_000 + " fÃ¤llt " + "ä" * 200_000) is not None
     rows = spark.createDataFrame([(1, "GrÃ¶ÃŸe"), (1, "GrÃ¶ÃŸe"), (None, "fÃ¤llt"), (2, None)], "doc_id long, text string")
     assert find_garbled(rows, "doc_id", "text", model).count() == 3
     assert find_garbled(rows.limit(0), "doc_id", "text").count() == 0
