@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary import functions as fn
 from tributary.errors import SpecificationError
+from tributary.log import configure, level_of
 from tributary.operators.cleaning import EnumCleaner
 from tributary.operators.explode import Exploder
 from tributary.operators.filters import Sieve
@@ -52,6 +53,15 @@ def test_json_sequence_files(spark, tmp_path):
     assert sorted(r.id for r in JSONExtractor(path).extract().collect()) == [1, 2, 3]
 
 
+def test_components_know_themselves():
+    source, step, sink = CSVExtractor("x"), Sieve("true"), ParquetLoader("x")
+    assert (source.name, step.name, sink.name) == ("CSVExtractor", "Sieve", "ParquetLoader")
+    assert str(source) == "Extractor Object of Class CSVExtractor" and str(step).startswith("Transformer") and str(sink).startswith("Loader")
+    assert step.logger.name == "tributary.Sieve"
+    assert [level_of(e) for e in ("dev", "test", "prod", None)] == [10, 40, 30, 20]
+    assert configure("test").level == 40 and len(configure("dev").handlers) == 1
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a;b\n1;x\n")
     assert [tuple(r) for r in CSVExtractor(str(tmp_path)).extract().collect()] == [(1, "x")]

@@ -96,7 +96,7 @@ class Mapper(Transformer):
     def _source(self, df: DataFrame, row: Row, kinds: dict) -> tuple[Column, T.DataType] | None:
         """The source column and its type, or NULL to leave the row out."""
         if isinstance(row.source, Column):
-            return row.source, kinds[row.name]
+            return row.source, kinds[id(row)]
         found = lookup(df, row.source)
         if found.kind is not None:
             return F.col(row.source), found.kind
@@ -114,7 +114,7 @@ class Mapper(Transformer):
         rows = self._rows()
         given = [r for r in rows if isinstance(r.source, Column)]
         schema = input_df.select(*[r.source.alias(f"c{i}") for i, r in enumerate(given)]).schema if given else []
-        kinds = {r.name: f.dataType for r, f in zip(given, schema)}
+        kinds = {id(r): f.dataType for r, f in zip(given, schema)}
         selected, in_place, errors, comments, names = [], [], [], {}, set(input_df.columns)
         keeps = self.mode in (MapperMode.append, MapperMode.prepend)
         for row in rows:

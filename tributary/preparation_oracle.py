@@ -52,4 +52,5 @@ ORACLE = {
                    from load_log where partition_column = 'updated_at_sec' and run_state = 'succeeded'),
              x as (select id, updated_at_sec, exists (select 1 from g where g.dt >= s.dt and s.t between g.lo and g.hi) as seen from s where t is not null)
         select id, updated_at_sec from x group by id, updated_at_sec having not bool_or(seen)""",
+    "p4_runs": "select row_nr, dt, id from mock_data",
 }

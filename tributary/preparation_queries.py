@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tributary.operators.drift import schema_changes, unify
 from tributary.operators.instants import InstantDictionary, integer_to_seconds, normalise, number_unit
-from tributary.operators.intervals import unread_changes
+from tributary.operators.intervals import IntervalStore, unread_changes
 from tributary.operators.nested import flatten_records
 from tributary.operators.packed import infer_delimiters, split_packed
 from tributary.operators.profile import ColumnRule, Profile
-from tributary.runtime import read_table
+from tributary.runtime import read_table, shared_dir
 
 MOCK_RULES = [
     ColumnRule("email", form=r"[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -69,6 +69,12 @@ def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return _profile(spark, sf).coverage().withColumnRenamed("load", "dt")
 
 
+def p3_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    """The induced expressions with the number of distinct values they describe."""
+    rows = [(e.column, e.level, e.regex, e.values, e.verdict) for e in _profile(spark, sf).model]
+    return spark.createDataFrame(rows, "column_name string, level int, expression string, n_values bigint, verdict string")
+
+
 def _bound(text):
     number = text.try_cast("bigint")
     stamp = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX"))
@@ -82,6 +88,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return unread_changes(rows, ["id", "updated_at_sec"], "dt", "at", log, "dt", "lo", "hi")
 
 
+def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows read by four runs over growing, out-of-order deliveries, one of which fails: each row once."""
+    rows = read_table(spark, sf, "mock_data").select("row_nr", "dt", "id")
+    store, days = IntervalStore(spark, shared_dir(spark, "runs")), [r[0] for r in rows.select("dt").distinct().orderBy("dt").limit(1000).collect()]
+
+    def lost(_: DataFrame) -> DataFrame:
+        raise RuntimeError("an executor was lost")
+
+    store.process(rows.where(F.col("dt").isin(days[::3])), "row_nr")
+    try:
+        store.process(rows.where(F.col("dt").isin(days[1::2])), "row_nr", lost)
+    except RuntimeError:
+        store.process(rows.where(F.col("dt").isin(days[1::2])), "row_nr")
+    store.process(rows, "row_nr")
+    return store.read()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     cells = read_table(spark, sf, "status_records").select("rec_nr", "src", F.col("b.itms").alias("itms"))
     return split_packed(cells, ["rec_nr"], "src", "itms")
@@ -118,5 +141,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_contacts, p2_found, p2_unified, p3_found, p3_aggregates, p3_coverage, p4_found, p5_found, p5_delimiters, p6_found,
+    p1_found, p1_contacts, p2_found, p2_unified, p3_found, p3_aggregates, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
 )}
