@@ -222,6 +222,14 @@ def schema_changes(df: DataFrame, feed: str, file: str, payload: str, root: str,
     return joined.select("feed", "file", F.explode(rows).alias("r")).select("feed", "file", "r.*")
 
 
+def appearing_alternatives(unions: DataFrame) -> DataFrame:
+    """``feed, path, json_type, file``: the first file of each feed in which an alternative of a path appears."""
+    kinds = F.array(*[F.struct(F.lit(t).alias("json_type"), F.lit(bit).alias("bit")) for t, bit in TYPES.items()])
+    paths = unions.select("feed", "file", F.explode("paths").alias("path", "bits")).select("*", F.explode(kinds).alias("k"))
+    found = paths.where(F.col("bits").bitwiseAND(F.col("k.bit")) != 0)
+    return found.groupBy("feed", "path", F.col("k.json_type").alias("json_type")).agg(F.min("file").alias("file"))
+
+
 def rename_groups(unions: DataFrame, changes: DataFrame, root: str, max_names: int = 2000) -> list[list[str]]:
     """Top-level names below ``root`` that are one field under several names, the oldest name first.
 

@@ -14,6 +14,21 @@ ORACLE = {
         with f as (select id, fs[i + 1] as f, i from (select distinct id, attributes.friends as fs from test_mapper), unnest(range(len(fs))) t(i)),
              c as (select f.contacts[j + 1] as c from f, unnest(range(len(f.contacts))) t(j))
         select c.kind as kind, c.value as value, count(*) as occurrences from c where c is not null group by c.kind, c.value""",
+    "p1_friends": """
+        with f as (select id, i, fs[i + 1] as x from (select distinct id, attributes.friends as fs from test_mapper where attributes.friends is not null), unnest(range(len(fs))) t(i))
+        select id as parent_id, cast(i as integer) as pos, x.id as friend_id, x.first_name as first_name, x.last_name as last_name, x.contacts is not null as has_contacts
+        from f where x is not null""",
+    "p2_alternatives": """
+        with recursive r as (select feed_nr, file_nr, try_cast(payload as json) as j from raw_records),
+             n as (select feed_nr, file_nr, 'attributes' as path, j->'attributes' as v from r where json_type(j) = 'OBJECT' and json_type(j->'attributes') in ('OBJECT', 'ARRAY')
+                   union all
+                   select feed_nr, file_nr, case when json_type(v) = 'ARRAY' then path || '[]' else path || '.' || k end,
+                     case when json_type(v) = 'ARRAY' then json_extract(v, '$[' || k || ']') else json_extract(v, '$."' || k || '"') end
+                   from (select feed_nr, file_nr, path, v, unnest(case when json_type(v) = 'ARRAY' then list_transform(range(cast(json_array_length(v) as bigint)), lambda x: cast(x as varchar)) else json_keys(v) end) as k
+                         from n where json_type(v) in ('OBJECT', 'ARRAY'))),
+             t as (select feed_nr, file_nr, path, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array'
+                     when 'NULL' then null else 'number' end as json_type from n where path <> 'attributes' and path not like '%[]')
+        select cast(feed_nr as bigint) as feed_nr, path as field_path, json_type, cast(min(file_nr) as bigint) as file_nr from t where json_type is not null group by feed_nr, path, json_type""",
     "p3_found": r"""
         with m as (select dt, row_nr, email, gender, latitude, version,
                      case when regexp_full_match(latitude, '-?[0-9]+(\.[0-9]+)?') then cast(latitude as double) end as lat from mock_data),
@@ -53,4 +68,13 @@ ORACLE = {
              x as (select id, updated_at_sec, exists (select 1 from g where g.dt >= s.dt and s.t between g.lo and g.hi) as seen from s where t is not null)
         select id, updated_at_sec from x group by id, updated_at_sec having not bool_or(seen)""",
     "p4_runs": "select row_nr, dt, id from mock_data",
+    "p5_found": r"""
+        with c as (select distinct rec_nr, trim(b.itms, ' ') as t from status_records where b.itms is not null),
+             d as (select rec_nr, case when length(t) >= 2 and (t[1] || t[-1]) in ('[]', '{}', '()') then t[2:-2] else t end as t from c where t <> ''),
+             e as (select rec_nr, regexp_extract_all(t || chr(1), '(?s) *("(?:[^"\\]|""|\\"|\\)*"|''(?:[^''\\]|''''|\\''|\\)*''|[\p{L}\p{M}\p{N}_. -]*) *[^\p{L}\p{M}\p{N}_. -]', 1) as l from d),
+             f as (select rec_nr, trim(unnest(l), ' ') as x, unnest(range(len(l))) as pos from e)
+        select rec_nr, cast(pos as integer) as pos, y as item_text from (select rec_nr, pos, case
+            when length(x) >= 2 and x[1] = '"' and x[-1] = '"' then replace(replace(x[2:-2], '""', '"'), chr(92) || '"', '"')
+            when length(x) >= 2 and x[1] = chr(39) and x[-1] = chr(39) then replace(replace(x[2:-2], chr(39) || chr(39), chr(39)), chr(92) || chr(39), chr(39))
+            else x end as y from f) where y <> ''""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators.drift import schema_changes, unify
+from tributary.operators.drift import appearing_alternatives, file_unions, schema_changes, unify
 from tributary.operators.instants import InstantDictionary, integer_to_seconds, normalise, number_unit
 from tributary.operators.intervals import IntervalStore, unread_changes
 from tributary.operators.nested import flatten_records
@@ -40,6 +40,14 @@ def p1_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return tables.objects(path).join(uses, "identity").select("kind", "value", "occurrences")
 
 
+def p1_friends(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of friends, put together from the bridge and the objects stored once."""
+    tables, path = flatten_records(read_table(spark, sf, "test_mapper"), "id", ["attributes"]), "attributes.friends"
+    uses = tables.bridge.where(F.col("path") == path).select(F.col("record_key").alias("parent_id"), F.get("ordinals", F.lit(0)).alias("pos"), "identity")
+    friends = tables.objects(path).withColumnRenamed("id", "friend_id")
+    return uses.join(friends, "identity").select("parent_id", "pos", "friend_id", "first_name", "last_name", F.col("contacts_identity").isNotNull().alias("has_contacts"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     found = schema_changes(read_table(spark, sf, "raw_records"), "feed_nr", "file_nr", "payload", "attributes", "id")
     return found.select(
@@ -47,6 +55,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p2_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each JSON type of each path appears first in a feed."""
+    unions = file_unions(read_table(spark, sf, "raw_records"), "feed_nr", "file_nr", "payload", "attributes")
+    return appearing_alternatives(unions).select(F.col("feed").alias("feed_nr"), F.col("path").alias("field_path"), "json_type", F.col("file").alias("file_nr"))
+
+
 def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     raw = read_table(spark, sf, "raw_records")
     return unify(raw, ["feed_nr", "file_nr", "line_nr"], "payload", "attributes", "id", "feed_nr", "file_nr")
@@ -141,5 +155,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_contacts, p2_found, p2_unified, p3_found, p3_aggregates, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
+    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
 )}
