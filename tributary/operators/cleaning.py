@@ -69,10 +69,12 @@ class Cleaner(Transformer):
         }
         if not self.store_as_map:
             return F.struct(*[t.alias(c) for c, t in texts.items()]) if texts else F.lit(None).cast("string")
-        none = F.lit(None).cast("map<string,string>")
+        none, empty = F.lit(None).cast("map<string,string>"), F.create_map().cast("map<string,string>")
         if not texts:
             return none
-        full = F.map_filter(F.create_map(*[x for c, t in texts.items() for x in (F.lit(c), t)]), lambda k, v: v.isNotNull())
+        # joined from one map per rule rather than filtered, as lambdas end whole-stage code generation
+        maps = [F.when(t.isNotNull(), F.create_map(F.lit(c), t)).otherwise(empty) for c, t in texts.items()]
+        full = F.map_concat(*maps) if len(maps) > 1 else maps[0]
         return F.when(F.coalesce(*texts.values()).isNotNull(), full).otherwise(none)
 
 

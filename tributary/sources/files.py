@@ -11,7 +11,7 @@ from tributary.sources.base import Extractor
 
 def remove_hdfs_prefix(path: str) -> str:
     """``path`` without the name service and port that older job definitions carry."""
-    for prefix in ("hdfs://nameservice-ha", ":8020"):
+    for prefix in ("hdfs://nameservice-ha", ":8020"):  # fixed values
         path = path.replace(prefix, "")
     return path
 
