@@ -134,15 +134,17 @@ def present_ranges(rows: DataFrame, sequence: str) -> DataFrame:
 def not_covered(rows: DataFrame, sequence: str, covered: DataFrame) -> DataFrame:
     """The rows whose number lies in none of the disjoint ``lo, hi`` of ``covered``.
 
-    The longest covered ranges become a filter that reaches the scan; what is left is checked in one ordered
-    pass per block, in which rows and intervals follow each other, so no pairs are formed.
+    The longest covered ranges become a filter that reaches the scan. Only if there are more, what is left is
+    checked in one ordered pass per block, in which rows and intervals follow each other: no pairs are formed.
     """
-    longest = covered.orderBy((F.col("hi") - F.col("lo")).desc(), "lo").limit(PUSHED_RANGES).collect()
-    left = rows.where(F.col(sequence).isNotNull())
+    found = covered.orderBy((F.col("hi") - F.col("lo")).desc(), "lo").limit(PUSHED_RANGES + 1).collect()
+    longest, left = found[:PUSHED_RANGES], rows.where(F.col(sequence).isNotNull())
     for r in longest:
-        left = left.where(~F.col(sequence).between(r["lo"], r["hi"]))
+        left = left.where((F.col(sequence) < r["lo"]) | (F.col(sequence) > r["hi"]))
+    if len(found) <= PUSHED_RANGES:
+        return left
     record = left.select(_block(F.col(sequence)).alias("b"), F.col(sequence).cast("long").alias("at"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("hi"), F.struct("*").alias("row"))
-    rest = covered.where(~F.col("lo").isin([r["lo"] for r in longest])) if longest else covered
+    rest = covered.where(~F.col("lo").isin([r["lo"] for r in longest]))
     cut = rest.select("hi", "lo", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))).alias("b"))
     none = F.lit(None).cast(record.schema["row"].dataType)
     cut = cut.select("b", F.greatest("lo", F.col("b") * BLOCK).alias("at"), F.lit(0).alias("tag"), "hi", none.alias("row"))
