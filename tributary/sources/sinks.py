@@ -68,10 +68,14 @@ class HiveLoader(Loader):
             df = df.withColumn(p.column_name, try_to(F.lit(p.default_value), p.column_type))
         return df
 
+    def _varying(self) -> list[str]:
+        """Partition columns that may differ from row to row: their rows are brought together before writing."""
+        return [] if self.overwrite_partition_value else [p.column_name for p in self.partition_definitions]
+
     def load(self, input_df: DataFrame) -> None:
         spark = input_df.sparkSession
         df = self._with_partitions(input_df)
-        df = df.repartition(self.repartition_size) if self.repartition_size else df.hint("rebalance")
+        df = df.repartition(self.repartition_size) if self.repartition_size else df.hint("rebalance", *self._varying())
         if not spark.catalog.tableExists(self.full_table_name):
             if not self.auto_create_table:
                 raise Exception(f"Table: {self.full_table_name} does not exist and `auto_create_table` is set to False")
