@@ -87,6 +87,7 @@ def test_to_timestamp_options(spark):
 def test_str_to_array(spark):
     assert one(spark, ["[1,2,3]", " []", "1,  2   ,  test", "2.4,2.5", None], "string", fn.str_to_array(cast="int")) == [[1, 2, 3], [None], [1, 2, None], [2, 3], None]
     assert one(spark, ["[a,[b],c]", " []", "a, b"], "string", fn.str_to_array()) == [["a", "[b]", "c"], [""], ["a", "b"]]
+    assert one(spark, ["9007199254740993,1.5"], "string", fn.str_to_array(cast="long")) == [[9007199254740993, 2]]
     assert one(spark, ["a,b:c"], "string", fn.str_to_array(sep=":")) == [["a,b", "c"]]
     assert one(spark, ["a|b"], "string", fn.str_to_array(sep="|")) == [["a", "b"]]
 

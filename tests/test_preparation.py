@@ -165,6 +165,20 @@ def test_profile_edges(spark):
     assert {tuple(r)[1:3] for r in same.load_findings().collect()} == {("v", "null_rate"), ("n", "null_rate")}
 
 
+def test_distributions_over_all_magnitudes(spark):
+    rng = random.Random(4)
+    draw = lambda shift: [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9) + shift for _ in range(400)] + [0.0, 1.0, 2.0, 4.0, float("inf"), float("nan")]
+    loads = [draw(0), draw(0), [abs(v) for v in draw(0)], draw(1e9), draw(0)]
+    df = spark.createDataFrame([(i, k, v) for i, vs in enumerate(loads) for k, v in enumerate(vs)], "dt int, nr long, v double")
+    got = {r.load for r in Profile(df, "dt", "nr", [ColumnRule("v", distribution=True)]).load_findings().collect()}
+
+    def apart(a, b):
+        a, b = ([v for v in x if v == v] for x in (a, b))
+        return any(abs(sum(v <= at for v in a) * len(b) - sum(v <= at for v in b) * len(a)) * 4 > len(a) * len(b) for at in [*a, *b])
+
+    assert got == {i for i in range(1, 5) if apart(loads[i - 1], loads[i])} == {2, 3, 4}
+
+
 def test_induced_expressions_are_few_and_cover_all(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcXYZ019.-_@ é") for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [f"user{i}@mail.org" for i in range(3000)]

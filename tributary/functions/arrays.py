@@ -23,7 +23,8 @@ def str_to_array(value: Column, sep=",", cast="string", regex_sep=False) -> Colu
     inner = F.regexp_replace(value.cast("string"), r"^\s*\[*\s*|\s*\]*\s*$", "")
     items = F.split(inner, rf"\s*{sep if regex_sep else re.escape(sep)}\s*")
     if is_integral(kind):
-        items = F.transform(items, lambda x: F.round(try_to(x, "double"), 0))
+        exact = lambda x: F.when(x.rlike(r"^[+-]?[0-9]+$"), try_to(x, kind))
+        items = F.transform(items, lambda x: exact(x).otherwise(try_to(F.round(try_to(x, "double"), 0), kind)))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         items = F.transform(items, lambda x: try_to(x, "double"))
     return F.transform(items, lambda x: try_to(x, kind))

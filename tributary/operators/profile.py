@@ -32,8 +32,8 @@ MAX_EXPRESSIONS = 256
 #: Bits for one character of an expression, and for a character of a value by what is known of it.
 MODEL_BITS = 12.0
 LETTER, DIGIT, ALNUM, JOINED, ANY, RUN = math.log2(26), math.log2(10), math.log2(62), math.log2(66), 8.0, 4.0
-#: Ranges into which the values of a distribution are cut, so that no task sums up a whole load.
-BUCKETS = 512
+#: Ranges per power of two into which the numbers of a distribution are cut, so that no task sums up a whole load.
+RANGES = 1024
 #: Loads whose names may be broadcast.
 MAX_LOADS = 200_000
 
@@ -175,6 +175,14 @@ def distinct_values(df: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
 
 
+def _range_of(v: Column) -> Column:
+    """Number of the range that ``v`` lies in, in the order of the numbers and fine at every magnitude."""
+    size = F.least(F.abs(v), F.lit(1e308))
+    power = F.floor(F.log2(size))
+    place = (power + 1100) * RANGES + F.floor(size / F.pow(F.lit(2.0), power) * RANGES) - RANGES
+    return F.when(size < 1e-300, F.lit(0)).otherwise(F.signum(v) * place).cast("long")
+
+
 class Profile:
     """Findings over the loads of ``df``; ``key`` numbers its rows, ``load`` orders its loads."""
 
@@ -276,21 +284,18 @@ class Profile:
         spread = [r for r in self.rules if r.distribution]
         if not spread:
             return self.df.select("load", F.lit("").alias("column_name"), F.lit("").alias("finding")).limit(0)
-        sound = self._judged(spread).where("finding is null and number is not null")
+        sound = self._judged(spread).where("finding is null and number is not null and not isnan(number)")
         counts = materialise(sound.groupBy("column_name", "load", F.col("number").alias("v")).agg(F.count("*").alias("n")), "counts")
         loads = self.df.select("load").distinct().withColumn("next", F.lead("load").over(Window.orderBy(F.col("load").asc_nulls_first())))
         loads = loads.withColumn("last", F.col("next").isNull())
-        span = counts.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        counts = counts.join(F.broadcast(span), "column_name").join(broadcast_within(loads, MAX_LOADS), counts["load"].eqNullSafe(loads["load"])).drop(loads["load"])
-        place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1))).otherwise(0)
+        counts = counts.join(broadcast_within(loads, MAX_LOADS), counts["load"].eqNullSafe(loads["load"])).drop(loads["load"])
         here = F.struct(F.col("load").alias("pair"), F.col("n").alias("cur"), F.lit(0).cast("long").alias("old"))
         ahead = F.struct(F.col("next").alias("pair"), F.lit(0).cast("long").alias("cur"), F.col("n").alias("old"))
         sides = F.when(F.col("last"), F.array(here)).otherwise(F.array(here, ahead))
-        moved = counts.select("column_name", "v", place.cast("int").alias("bucket"), F.explode(sides).alias("s")).select("column_name", "v", "bucket", "s.*")
+        moved = counts.select("column_name", "v", _range_of(F.col("v")).alias("bucket"), F.explode(sides).alias("s")).select("column_name", "v", "bucket", "s.*")
         merged = moved.groupBy("column_name", "pair", "bucket", "v").agg(F.sum("cur").alias("cur"), F.sum("old").alias("old"))
         inner = Window.partitionBy("column_name", "pair", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         run = merged.select("column_name", "pair", "bucket", F.sum("cur").over(inner).alias("cur"), F.sum("old").over(inner).alias("old"))
-        # within a bucket only the extremes of an affine form of the two running sums matter once n and n0 are known
         totals = moved.groupBy("column_name", "pair", "bucket").agg(F.sum("cur").alias("bc"), F.sum("old").alias("bo"))
         outer = Window.partitionBy("column_name", "pair").orderBy("bucket")
         whole = Window.partitionBy("column_name", "pair")
