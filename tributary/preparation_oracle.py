@@ -1,4 +1,4 @@
-"""Equivalent SQL for those of the queries p1 to p4 that SQL can express over whole tables."""
+"""Equivalent SQL for those of the queries p1 to p6 that SQL can express over whole tables."""
 
 ORACLE = {
     "p1_found": """
@@ -77,4 +77,61 @@ ORACLE = {
             when length(x) >= 2 and x[1] = '"' and x[-1] = '"' then replace(replace(x[2:-2], '""', '"'), chr(92) || '"', '"')
             when length(x) >= 2 and x[1] = chr(39) and x[-1] = chr(39) then replace(replace(x[2:-2], chr(39) || chr(39), chr(39)), chr(92) || chr(39), chr(39))
             else x end as y from f) where y <> ''""",
+    "p6_found": r"""
+        with raw as (
+               select 'status_records' as table_name, rec_nr as row_key, 'a.ts' as field_name, trim(a.ts, ' ') as x, tz_name as tz, day_order as o from (select distinct rec_nr, src, a from status_records) left join source_zones using (src)
+               union all select 'status_records', rec_nr, 'b.ts', trim(b.ts, ' '), tz_name, day_order from (select distinct rec_nr, src, b from status_records) left join source_zones using (src)
+               union all select 'mock_data', row_nr, 'updated_at_sec', cast(updated_at_sec as varchar), null, null from mock_data
+               union all select 'mock_data', row_nr, 'updated_at_ms', cast(updated_at_ms as varchar), null, null from mock_data),
+             num as (select *, try_cast(split_part(x, '.', 1) as hugeint) as i, rpad(split_part(x, '.', 2), 6, '0')[:6] as fr from raw where regexp_full_match(x, '[0-9]{1,19}(\.[0-9]*)?')),
+             unit as (select *, case when i >= 978307200 and i < 4133980800 then 's' when i >= 978307200000 and i < 4133980800000 then 'ms'
+                        when i >= 978307200000000 and i < 4133980800000000 then 'us' when i >= 978307200000000000 and i < 4133980800000000000 then 'ns' end as u from num),
+             n as (select table_name, row_key, field_name, cast(case u when 's' then i * 1000000 + cast(fr as integer) when 'ms' then i * 1000 + cast(fr[:3] as integer) when 'us' then i when 'ns' then i // 1000 end as bigint) as us
+                   from unit where u is not null and (table_name = 'status_records' or u <> case field_name when 'updated_at_sec' then 's' else 'ms' end)),
+             parts as (select *, string_split(case
+                 when regexp_matches(x, '^\d{4}-') then regexp_replace(x, '^(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.(\d+))? ?()(.*)$', '\1|\2|\3|\4|\5|\6|\7|\8|\9')
+                 when regexp_matches(x, '^\d{8}T') then regexp_replace(x, '^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)()()(.*)$', '\1|\2|\3|\4|\5|\6|\7|\8|\9')
+                 when regexp_matches(x, '^[A-Z][a-z]{2}, ') then regexp_replace(x, '^[A-Za-z]+, (\d\d) ([A-Za-z]+) (\d{4}) (\d\d):(\d\d):(\d\d)()() ?(.*)$', '\3|\2|\1|\4|\5|\6|\7|\8|\9')
+                 when regexp_matches(x, '^[A-Z][a-z]{2} ') then regexp_replace(x, '^([A-Za-z]+) (\d+), (\d{4}) (\d+):(\d\d):(\d\d)() ([AP])M()$', '\3|\1|\2|\4|\5|\6|\7|\8|\9')
+                 when regexp_matches(x, '^\d\d\.\d\d\.\d{4} ') then regexp_replace(x, '^(\d\d)\.(\d\d)\.(\d{4}) (\d\d):(\d\d)()()()()$', '\3|\2|\1|\4|\5|00|||')
+                 when regexp_matches(x, '^\d\d/\d\d/\d{4} ') and o = 'mdy' then regexp_replace(x, '^(\d\d)/(\d\d)/(\d{4}) (\d\d):(\d\d):(\d\d)()()()$', '\3|\1|\2|\4|\5|\6|||')
+                 when regexp_matches(x, '^\d\d/\d\d/\d{4} ') then regexp_replace(x, '^(\d\d)/(\d\d)/(\d{4}) (\d\d):(\d\d):(\d\d)()()()$', '\3|\2|\1|\4|\5|\6|||') end, '|') as p from raw where not regexp_full_match(x, '[0-9]{1,19}(\.[0-9]*)?')),
+             f as (select table_name, row_key, field_name, tz, p[9] as z, rpad(p[7], 6, '0')[:6] as fr, try_cast(p[1] || '-' || lpad(coalesce(nullif(cast(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(p[2])) as varchar), '0'), p[2]), 2, '0')
+                     || '-' || lpad(p[3], 2, '0') || ' ' || lpad(case p[8] when 'P' then cast(cast(p[4] as integer) % 12 + 12 as varchar) when 'A' then cast(cast(p[4] as integer) % 12 as varchar) else p[4] end, 2, '0') || ':' || p[5] || ':' || p[6] as timestamp) as t
+                   from parts where len(p) = 9),
+             g as (select *, case when z = 'Z' or z = 'UTC' or z = 'GMT' then 0 when z in ('CET') then 60 when z = 'CEST' then 120 when z = 'EST' then -300 when z = 'EDT' then -240 when z = 'CST' then -360 when z = 'CDT' then -300
+                     when regexp_full_match(z, '[+-]\d\d(:?\d\d)?') then (case z[1] when '-' then -1 else 1 end) * (cast(z[2:3] as integer) * 60 + coalesce(try_cast(right(replace(z, ':', ''), 2) as integer) * (case when length(z) > 3 then 1 else 0 end), 0)) end as off,
+                     case when z = '' then tz else z end as name from f where t is not null),
+             h as (select *, case when off is null then timezone(name, t) end as later from g),
+             k as (select table_name, row_key, field_name, case when off is not null then epoch_us(t) - off * 60000000::bigint when timezone(name, later - interval 1 hour) = t then epoch_us(later) - 3600000000 else epoch_us(later) end + cast(fr as integer) as us from h)
+        select table_name, row_key, field_name, us as epoch_us from n union all select table_name, row_key, field_name, cast(us as bigint) from k""",
+    "p2_found": r"""
+        with recursive r as (select feed_nr, file_nr, row_number() over () as rec, try_cast(payload as json) as j from (select distinct feed_nr, file_nr, payload from raw_records)),
+             n as (select feed_nr, file_nr, rec, 'attributes' as path, cast([] as bigint[]) as ix, j->'attributes' as v from r where json_type(j) = 'OBJECT' and json_type(j->'attributes') in ('OBJECT', 'ARRAY')
+                   union all
+                   select feed_nr, file_nr, rec, case when json_type(v) = 'ARRAY' then path || '[]' else path || '.' || k end,
+                     case when json_type(v) = 'ARRAY' then list_append(ix, cast(k as bigint)) else ix end,
+                     case when json_type(v) = 'ARRAY' then json_extract(v, '$[' || k || ']') else json_extract(v, '$."' || k || '"') end
+                   from (select *, unnest(case when json_type(v) = 'ARRAY' then list_transform(range(cast(json_array_length(v) as bigint)), lambda x: cast(x as varchar)) else json_keys(v) end) as k
+                         from n where json_type(v) in ('OBJECT', 'ARRAY'))),
+             keys as (select * from n where path <> 'attributes' and path not like '%[]'),
+             t as (select feed_nr, file_nr, path, list_sort(list_distinct(list(case json_type(v) when 'VARCHAR' then 's' when 'BOOLEAN' then 'b' when 'OBJECT' then 'o' when 'ARRAY' then 'a' when 'NULL' then null else 'n' end))) as kinds
+                   from keys group by all),
+             f as (select feed_nr, file_nr, lag(file_nr) over (partition by feed_nr order by file_nr) as prev from (select distinct feed_nr, file_nr from raw_records)),
+             p as (select f.feed_nr, f.file_nr, f.prev, c.path, c.kinds from f join t c using (feed_nr, file_nr) where prev is not null),
+             o as (select f.feed_nr, f.file_nr, f.prev, c.path, c.kinds from f join t c on c.feed_nr = f.feed_nr and c.file_nr = f.prev),
+             added as (select *, regexp_replace(path, '\.[^.]*$', '') as parent from p anti join o using (feed_nr, file_nr, path)),
+             ceased as (select *, regexp_replace(path, '\.[^.]*$', '') as parent from o anti join p using (feed_nr, file_nr, path)),
+             sizes as (select feed_nr, file_nr, rec, path, count(*) as k from n where path like '%[]' group by all),
+             cells as (select c.feed_nr, c.file_nr, c.path, r.j->'id' as id, list({'ix': c.ix, 'v': cast(c.v as varchar)} order by c.ix) as cell, coalesce(any_value(z.k), -1) as k
+                       from keys c join r using (rec) left join sizes z on z.rec = c.rec and z.path = case when contains(c.path, '[]') then regexp_extract(c.path, '^.*\[\]') end
+                       where json_type(c.v) <> 'NULL' group by c.feed_nr, c.file_nr, c.rec, c.path, r.j->'id'),
+             renamed as (select a.feed_nr, a.file_nr, a.path as field_path, e.path as old_path from added a join ceased e using (feed_nr, file_nr, parent)
+                         join cells x on x.feed_nr = a.feed_nr and x.file_nr = a.file_nr and x.path = a.path
+                         join cells y on y.feed_nr = e.feed_nr and y.file_nr = e.prev and y.path = e.path and cast(y.id as varchar) = cast(x.id as varchar)
+                         group by all having bool_and(x.cell = y.cell and x.k = y.k))
+        select feed_nr, file_nr, 'renamed' as change_kind, field_path, old_path from renamed
+        union all select feed_nr, file_nr, 'added', path, '' from added anti join renamed on renamed.feed_nr = added.feed_nr and renamed.file_nr = added.file_nr and renamed.field_path = added.path
+        union all select feed_nr, file_nr, 'removed', path, '' from ceased anti join renamed on renamed.feed_nr = ceased.feed_nr and renamed.file_nr = ceased.file_nr and renamed.old_path = ceased.path
+        union all select feed_nr, file_nr, 'type_changed', path, '' from p join o using (feed_nr, file_nr, path) where p.kinds <> o.kinds and len(p.kinds) > 0 and len(o.kinds) > 0""",
 }
