@@ -303,6 +303,10 @@ def test_packed_edges(spark):
     assert len(split(spark, [long])) == 50_000 and split(spark, []) == []
     twice = spark.createDataFrame([(1, None, "a,b"), (1, None, "a,b")], "nr int, src string, c string")
     assert split_packed(twice, ["nr"], "src", "c").count() == 2
+    with pytest.raises(ValueError):
+        split_packed(twice.withColumnRenamed("nr", "pos"), ["pos"], "src", "c")
+    hot = spark.range(3000).select(F.lit("s").alias("src"), F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("nr"), F.lit("a;b").alias("c"))
+    assert split_packed(hot, ["nr"], "src", "c").count() == 2 * 2001
     scores = {(r.src, r.delimiter): r for r in infer_delimiters(spark.createDataFrame([("s", "1,2,3"), ("s", "4,5"), ("s", "a,b|c"), ("t", "1;2"), ("t", None)], "src string, c string"), "src", "c").collect()}
     assert scores["s", ","].chosen and not scores["s", "|"].chosen and scores["t", ";"].score == 1
 

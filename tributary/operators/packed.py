@@ -108,6 +108,8 @@ def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimit
     a table as of ``infer_delimiters``, inferred from ``df`` by default. It is grouped to one row per source,
     counted, and broadcast up to ``MAX_SOURCES``; beyond that the join shuffles.
     """
+    if {k.lower() for k in keys} & {"pos", "item_text"}:
+        raise ValueError("pos and item_text are names of the result; rename the key")
     found = infer_delimiters(df, source, cell) if delimiters is None else delimiters
     marks = F.array_join(F.array_sort(F.collect_set(F.when(F.col("chosen"), F.col("delimiter")))), "")
     sets = broadcast_within(materialise(found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d")), "delimiters"), MAX_SOURCES)
