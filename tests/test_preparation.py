@@ -126,6 +126,25 @@ def test_unify(spark):
     ]
 
 
+def test_unify_nested_paths(spark):
+    rows = [
+        (1, 1, line(1, f=[{"name": "x", "n": 1, "c": [{"v": 1}, {}]}, None, {"name": "y"}], o={"p": "u"})), (1, 1, line(2, f=[], o={"p": "w", "big": 0.12345678901234567890123})),
+        (1, 2, line(1, f=[{"fn": "x", "n": "2", "c": [{"w": 1}, {}]}, None, {"fn": "y"}], place={"p": "u"})), (1, 2, line(2, f=None, place={"p": "w", "big": 0.12345678901234567890123})),
+        (1, 3, line(1, place={"q": "u"}, f=[{"n": 1.50}])), (1, 3, line(2, place={"q": "w"})),
+    ]
+    df = spark.createDataFrame(rows, "feed int, file int, payload string")
+    out = unify(df, ["file"], "payload", "attributes", "id", "feed", "file")
+    assert out.columns == ["file", "id", "f", "f[].c", "f[].c[].v", "f[].n", "f[].n__string", "f[].n__number", "f[].name", "o", "o.big", "o.p"]
+    got = {(r["file"], r["id"]): r for r in out.collect()}
+    assert [got[k, "1"]["f[].name"] for k in (1, 2, 3)] == [["x", None, "y"], ["x", None, "y"], None]
+    assert got[2, "1"]["f[].c[].v"] == [["1", None], None, None] and got[2, "1"]["f[].c"] == ['[{"v":1},{}]', None, None]
+    assert [got[k, "1"]["f[].n"] for k in (1, 2, 3)] == [["1", None, None], ["2", None, None], ["1.5"]]
+    assert [got[k, "1"]["f[].n__number"] for k in (1, 2, 3)] == [[1.0, None, None], None, [1.5]]
+    assert got[2, "1"]["f[].n__string"] == ["2", None, None] and [got[k, "2"]["o.p"] for k in (1, 2, 3)] == ["w"] * 3
+    assert got[2, "1"]["f"] == '[{"c":[{"v":1},{}],"n":"2","name":"x"},null,{"name":"y"}]' and got[3, "1"]["o"] == '{"p":"u"}'
+    assert got[2, "2"]["f"] is None and got[1, "2"]["f"] == "[]" and got[1, "2"]["f[].name"] is None
+
+
 def test_names_used_at_once_stay_apart(spark):
     rows = [(1, 1, line(1, a="x")), (1, 2, line(1, b="x")), (2, 1, line(1, a="p", b="q"))]
     df = spark.createDataFrame(rows, "feed int, file int, payload string")

@@ -20,12 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from tributary.runtime import materialise
 
@@ -35,6 +38,10 @@ TYPES = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
 MAX_DEPTH = 400
 #: Parts over which the records of one file are spread when their values are compared.
 SALT = 16
+#: Digits up to which numbers are written without an exponent.
+PLAIN_DIGITS = 400
+#: Records per batch of the unified table.
+ROWS = 1000
 
 
 def _type_bit(value) -> int:
@@ -231,63 +238,224 @@ def appearing_alternatives(unions: DataFrame) -> DataFrame:
 
 
 def rename_groups(unions: DataFrame, changes: DataFrame, root: str, max_names: int = 2000) -> list[list[str]]:
-    """Top-level names below ``root`` that are one field under several names, the oldest name first.
+    """Paths below ``root`` that are one field under several names, the oldest name first.
 
-    Names are joined along reported renames unless some file has two of them at once: these are two fields
-    there, and joining them would lose one. Names are schema, so they are collected, up to ``max_names``.
+    Siblings are joined along reported renames unless some file has two of them at once: these are two fields
+    there, and joining them would lose one. Levels are taken from the top, so that paths below renamed objects
+    count under the oldest names of these. Names are schema, so they are collected, up to ``max_names``.
     """
-    top = lambda c: F.col(c).rlike(rf"\A{re.escape(root)}\.[^.\[]+\z")
-    edges = changes.where((F.col("change_kind") == "renamed") & top("field_path")).groupBy("old_path", "field_path").agg(F.count("*").alias("n"))
+    edges = changes.where(F.col("change_kind") == "renamed").groupBy("old_path", "field_path").agg(F.count("*").alias("n"))
     found = edges.orderBy(F.col("n").desc(), "old_path", "field_path").limit(max_names).collect()
-    names = sorted({r["old_path"] for r in found} | {r["field_path"] for r in found})
-    if not names:
+    if not found:
         return []
-    here = F.array_intersect(F.map_keys("paths"), F.array(*[F.lit(n) for n in names]))
-    pairs = unions.select(here.alias("x")).distinct().select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a < b").distinct()
-    apart = {(r["a"], r["b"]) for r in pairs.collect()}
-    group = {n: [n] for n in names}
-    for r in found:
-        old, new = group[r["old_path"]], group[r["field_path"]]
-        if old is new or any((min(a, b), max(a, b)) in apart for a in old for b in new):
+    leaf = lambda p: F.substring_index(p, ".", -1)
+    leaves = F.array(*[F.lit(x) for x in sorted({r[c].rpartition(".")[2] for r in found for c in ("old_path", "field_path")})])
+    here = F.filter(F.map_keys("paths"), lambda p: F.array_contains(leaves, leaf(p)))
+    pairs = unions.select(here.alias("x")).distinct().select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b"))
+    pairs = pairs.where((F.col("a") < F.col("b")) & (_parent(F.col("a")) == _parent(F.col("b")))).distinct().collect()
+    oldest: dict[str, str] = {}
+    groups: list[list[str]] = []
+    for depth in sorted({r["old_path"].count(".") for r in found}):
+        name = lambda p: _oldest_path(_below(p, root), oldest)
+        apart = {frozenset((name(r["a"]), name(r["b"]))) for r in pairs if r["a"].count(".") == depth}
+        weights: dict = {}
+        for r in found:
+            if r["old_path"].count(".") == depth:
+                edge = name(r["old_path"]), name(r["field_path"])
+                weights[edge] = weights.get(edge, 0) + r["n"]
+        group = {n: [n] for edge in weights for n in edge}
+        for edge in sorted(weights, key=lambda e: (-weights[e], e)):
+            old, new = (group[n] for n in edge)
+            if old is new or any(frozenset((a, b)) in apart for a in old for b in new):
+                continue
+            old.extend(new)
+            for n in new:
+                group[n] = old
+        joined = [g for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+        oldest |= {n: g[0] for g in joined for n in g}
+        groups += joined
+    return groups
+
+
+def _below(path: str, root: str) -> str:
+    return path[len(root) :].removeprefix(".")
+
+
+def _oldest_path(path: str, oldest: dict[str, str]) -> str:
+    """``path`` with every step under its oldest name; ``oldest`` maps paths whose parents are so already."""
+    out = ""
+    for i, step in enumerate(path.split(".")):
+        name = step
+        while name.endswith("[]"):
+            name = name[:-2]
+        at = f"{out}.{name}" if i else name
+        out = oldest.get(at, at) + step[len(name) :]
+    return out
+
+
+class _Number(float):
+    """A number that is no integer, with its exact text."""
+
+    text: str
+
+
+def _number(token: str) -> _Number:
+    value = _Number(token)
+    exact = Decimal(token)
+    plain = f"{exact:f}" if abs(exact.adjusted()) <= PLAIN_DIGITS else str(exact)
+    if "." in plain and "E" not in plain:
+        plain = plain.rstrip("0").rstrip(".")
+    value.text = "0" if not exact else plain
+    return value
+
+
+def _whole(token: str) -> int | _Number:
+    try:
+        return int(token)
+    except ValueError:  # more digits than the interpreter converts
+        return _number(token)
+
+
+def _document(payload: str | None):
+    try:
+        record = None if payload is None else json.loads(payload, parse_constant=_no_number, parse_float=_number, parse_int=_whole)
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def _sound(text: str) -> str:
+    """``text`` without halves of characters, which no table can hold."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _json_text(value, path: str, names: dict[str, str]) -> str:
+    """Compact JSON with sorted keys, in which objects at and below ``path`` have canonical names."""
+    out, todo = [], [(value, path)]
+    while todo:
+        value, path = todo.pop()
+        if path is None:  # a mark of the syntax
+            out.append(value)
+        elif isinstance(value, dict):
+            named: dict = {}
+            for k, v in value.items():
+                at = f"{path}.{k}"
+                name = k if "." in k else names.get(at, at).rpartition(".")[2]
+                named[k if name != k and (name in value or name in named) else name] = v, at
+            parts = [("{", None)]
+            for i, k in enumerate(sorted(named)):
+                parts += [("," * (i > 0) + json.dumps(k, ensure_ascii=False) + ":", None), named[k]]
+            todo += reversed([*parts, ("}", None)])
+        elif isinstance(value, list):
+            parts = [("[", None)]
+            for i, v in enumerate(value):
+                parts += [(",", None)] * (i > 0) + [(v, f"{path}[]")]
+            todo += reversed([*parts, ("]", None)])
+        else:
+            out.append(json.dumps(value, ensure_ascii=False) if isinstance(value, str) else _scalar_text(value))
+    return "".join(out)
+
+
+def _scalar_text(value) -> str:
+    if isinstance(value, _Number):
+        return value.text
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def _put(row: dict, path: str, inside: tuple, value) -> None:
+    """Store ``value`` under ``path``, in lists as long as the arrays around it; ``inside``: their indexes and sizes."""
+    if not inside:
+        row.setdefault(path, value)
+        return
+    at = row.setdefault(path, [None] * inside[0][1])
+    for (i, _), (_, size) in zip(inside, inside[1:]):
+        if at[i] is None:
+            at[i] = [None] * size
+        at = at[i]
+    if at[inside[-1][0]] is None:
+        at[inside[-1][0]] = value
+
+
+def _cells(value, names: dict[str, str], branched: set[str]) -> dict:
+    """Values by canonical path and, of paths with branches, by ``(path, type)``."""
+    row: dict = {}
+    todo = [(value, "", ())]
+    while todo:
+        value, path, inside = todo.pop()
+        if isinstance(value, list):
+            todo += [(v, f"{path}[]", (*inside, (i, len(value)))) for i, v in enumerate(value) if isinstance(v, (dict, list))]
             continue
-        old.extend(new)
-        for n in new:
-            group[n] = old
-    return [[n[len(root) + 1 :] for n in g] for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+        for k, v in value.items():
+            at = f"{path}.{k}" if path else k
+            nested = isinstance(v, (dict, list))
+            if v is not None and at in names:
+                text = _sound(_json_text(v, at, names) if nested else _scalar_text(v))
+                _put(row, names[at], inside, text)
+                if names[at] in branched:
+                    kind = next(t for t, bit in TYPES.items() if bit == _type_bit(v))
+                    _put(row, (names[at], kind), inside, _float(v) if kind == "number" else v if kind == "boolean" else text)
+            if nested:
+                todo.append((v, at, inside))
+    return row
+
+
+def _float(value) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
 
 
 def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: str, feed: str, file: str, max_paths: int = 2000, join_renames: bool = True) -> DataFrame:
-    """All records as one table: ``keys``, ``record_id`` and, for each top-level path below ``root``, a text
+    """All records as one table: ``keys``, ``record_id`` and, for each path below ``root``, nested ones too, a text
     column ``<path>`` (canonical conversion) plus, where types conflict, typed branches ``<path>__<type>``.
 
-    Names found to be renames of each other share the columns of the oldest one. The union's paths are
-    collected to declare the table's columns; more than ``max_paths`` is an error, as no table could have
-    them. Objects and arrays are kept as JSON text. Names that differ from another column's in letter case
-    only, or equal a key's, get a number.
+    Paths found to be renames of each other share the columns of the oldest one, at every level. Columns of
+    paths in arrays (``friends[].name``) hold lists as long as the arrays, NULL where an element has no value;
+    they are NULL if no element has one. Objects and arrays are JSON text under canonical names with sorted
+    keys. The union's paths are collected to declare the table's columns; more than ``max_paths`` is an error,
+    as no table could have them. Names that differ from another column's in letter case only, or equal a
+    key's, get a number. If a key with a dot and a deeper path have one name, a record with both gives one of them.
     """
     unions = materialise(file_unions(df, feed, file, payload, root), "unions")
     groups = rename_groups(unions, schema_changes(df, feed, file, payload, root, record_id), root) if join_renames else []
     fused = unions.select(F.explode("paths").alias("path", "bits")).groupBy("path").agg(F.bit_or("bits").alias("bits"))
-    found = fused.where(~F.substring_index("path", f"{root}.", -1).rlike(r"[.\[]")).orderBy("path").limit(max_paths + 1).collect()
+    found = fused.orderBy("path").limit(max_paths + 1).collect()
     if len(found) > max_paths:
         raise ValueError(f"more than {max_paths} paths below {root}")
-    bits = {r["path"][len(root) + 1 :]: r["bits"] for r in found}
-    later = {n for g in groups for n in g[1:]}
-    members = {n: [n] for n in bits if n not in later} | {g[0]: g for g in groups}
-    doc = F.col("__doc")
-    columns, taken = [F.try_variant_get(doc, f"$.{record_id}", "string").alias(record_id)], {c.lower() for c in [*keys, record_id]}
-    tests = {"string": "^STRING", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "number": "^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"}
-    for first in sorted(members):
-        name = next(n for n in [first, *(f"{first}__{i}" for i in range(2, max_paths + 3))] if n.lower() not in taken)
-        taken.add(name.lower())
-        at = [f"$.{root}['{m}']" for m in members[first]]
-        columns.append(F.coalesce(*[F.try_variant_get(doc, a, "string") for a in at]).alias(name))
-        kinds = [t for t, bit in TYPES.items() if any(bits.get(m, 0) & bit for m in members[first])]
-        if len(kinds) < 2:
-            continue
-        for t in kinds:
-            cast = {"number": "double", "boolean": "boolean"}.get(t, "string")
-            branch = [F.when(F.schema_of_variant(F.try_variant_get(doc, a, "variant")).rlike(tests[t]), F.try_variant_get(doc, a, cast)) for a in at]
-            columns.append(F.coalesce(*branch).alias(f"{name}__{t}"))
-    parsed = df.select(*keys, F.try_parse_json(F.col(payload)).alias("__doc")).where(F.schema_of_variant("__doc").startswith("OBJECT"))
-    return parsed.select(*keys, *columns)
+    oldest = {n: g[0] for g in groups for n in g}
+    names = {(p := _below(r["path"], root)): _oldest_path(p, oldest) for r in found}
+    bits: dict[str, int] = {}
+    for r in found:
+        first = names[_below(r["path"], root)]
+        bits[first] = bits.get(first, 0) | r["bits"]
+    source = df.select(*keys, F.col(payload))
+    fields, taken, columns = list(source.schema.fields[:-1]), {c.lower() for c in [*keys, record_id]}, []
+    fields.append(StructField(record_id, StringType()))
+    for first in sorted(bits):
+        kinds = [t for t, bit in TYPES.items() if bits[first] & bit]
+        kinds = kinds if len(kinds) > 1 else []
+        name = next(n for n in [first, *(f"{first}__{i}" for i in range(2, 10 * max_paths))] if not taken & {x.lower() for x in [n, *(f"{n}__{t}" for t in kinds)]})
+        for cell, column, kind in [(first, name, "string"), *(((first, t), f"{name}__{t}", t) for t in kinds)]:
+            taken.add(column.lower())
+            spark_type, arrow = {"number": (DoubleType(), pa.float64()), "boolean": (BooleanType(), pa.bool_())}.get(kind, (StringType(), pa.string()))
+            for _ in range(first.count("[]")):
+                spark_type, arrow = ArrayType(spark_type), pa.list_(arrow)
+            fields.append(StructField(column, spark_type))
+            columns.append((cell, column, arrow))
+    branched = {cell[0] for cell, _, _ in columns if isinstance(cell, tuple)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                documents = [_document(t) for t in part.column(len(keys)).to_pylist()]
+                kept = [i for i, d in enumerate(documents) if d is not None]
+                documents = [documents[i] for i in kept]
+                cells = [_cells(d[root], names, branched) if isinstance(d.get(root), (dict, list)) else {} for d in documents]
+                ids = [None if (v := d.get(record_id)) is None else _sound(_json_text(v, "", {}) if isinstance(v, (dict, list)) else _scalar_text(v)) for d in documents]
+                arrays = [part.column(i).take(pa.array(kept, pa.int64())) for i in range(len(keys))] + [pa.array(ids, pa.string())]
+                arrays += [pa.array([c.get(cell) for c in cells], arrow) for cell, _, arrow in columns]
+                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+
+    return source.mapInArrow(rows, StructType(fields))
