@@ -209,6 +209,16 @@ def test_induced_expressions_are_few_and_cover_all(spark):
     assert p.coverage().agg(F.sum("n_rows")).first()[0] == len(words)
 
 
+def test_coverage_has_every_expression_in_every_load(spark):
+    words = {None: "1", 1: "a1", 2: "", 3: "a", 4: "1"}  # forms in each load; the column of load 2 is NULL
+    rows = [(load, 10 * i + k, f"{'ab' if f == 'a' else 1000 + i * 20 + k}", 1, None) for i, (load, forms) in enumerate(words.items()) for k, f in enumerate(forms * 8)] + [(2, 99, None, 1, None)]
+    found = profile(spark, rows, RULES).coverage().collect()
+    got = {(r.load, r.expression): (r.n_rows, r.share, r.change) for r in found}
+    assert len(found) == len(got) == 10
+    assert [got[load, "[a-z]+"] for load in words] == [(0, 0, None), (8, 0.5, 0.5), (0, 0, -0.5), (8, 1, 1), (0, 0, -1)]
+    assert [got[load, "[0-9]+"] for load in words] == [(8, 1, None), (8, 0.5, -0.5), (0, 0, -0.5), (0, 0, 0), (8, 1, 1)]
+
+
 # increments
 
 

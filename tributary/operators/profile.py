@@ -246,7 +246,11 @@ class Profile:
         )
 
     def coverage(self) -> DataFrame:
-        """Rows of each load by induced expression: ``load, column_name, expression, n_rows, share, change``."""
+        """Rows of each load by induced expression: ``load, column_name, expression, n_rows, share, change``.
+
+        Every load has a row for every expression of a column, with 0 rows where no value has that form, and
+        ``change`` is against the preceding load (NULL in the first). A load without values has shares of 0.
+        """
         parts = []
         for r in (r for r in self.rules if r.form):
             names = []
@@ -258,8 +262,13 @@ class Profile:
             parts.append(F.struct(F.lit(r.name).alias("column_name"), F.coalesce(*names).alias("expression")))
         long = self._shaped([r for r in self.rules if r.form]).select("load", F.explode(F.array(*parts)).alias("p")).select("load", "p.*").where(F.col("expression").isNotNull())
         counts = long.groupBy("load", "column_name", "expression").agg(F.count("*").alias("n_rows"))
+        if self.model:
+            known = sorted({(e.column, e.regex) for e in self.model})
+            every = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(x).alias("expression")) for c, x in known])
+            none = self.df.select("load").distinct().select("load", F.explode(every).alias("p"), F.lit(0).cast("long").alias("n_rows")).select("load", "p.*", "n_rows")
+            counts = counts.unionByName(none).groupBy("load", "column_name", "expression").agg(F.sum("n_rows").alias("n_rows"))
         total = F.sum("n_rows").over(Window.partitionBy("load", "column_name"))
-        shares = counts.withColumn("share", F.col("n_rows") / total)
+        shares = counts.withColumn("share", F.when(total > 0, F.col("n_rows") / total).otherwise(F.lit(0.0)))
         before = F.lag("share").over(Window.partitionBy("column_name", "expression").orderBy("load"))
         return shares.withColumn("change", F.col("share") - before)
 
