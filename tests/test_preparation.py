@@ -219,6 +219,18 @@ def test_coverage_has_every_expression_in_every_load(spark):
     assert [got[load, "[0-9]+"] for load in words] == [(8, 1, None), (8, 0.5, -0.5), (0, 0, -0.5), (0, 0, 0), (8, 1, 1)]
 
 
+def test_ranges_are_those_of_the_values(spark):
+    rows = [(1, i, v, n, d, f"w{i}") for i, (v, n, d) in enumerate([("9", 9, 9.5), ("-144.5", -144, -0.5), ("-1000", -2147483648, float("nan")), ("10.50", 2147483647, 1e10), ("x", None, None), ("NaN", 40, 100.0), (None, 1, -7.0)])]
+    df = spark.createDataFrame([*rows, (2, 9, "x", None, float("nan"), None)], "dt int, nr long, v string, n int, d double, w string")
+    rules = [ColumnRule("v", form=r"-?[0-9]+(?:\.[0-9]+)?", lowest=-90, highest=90), ColumnRule("n"), ColumnRule("d"), ColumnRule("w")]
+    got = {(r.load, r.column_name): r for r in Profile(df, "dt", "nr", rules).aggregates().collect()}
+    assert {c: (got[1, c].lowest, got[1, c].highest) for c in "vndw"} == {"v": ("-1000", "10.50"), "n": ("-2147483648", "2147483647"), "d": ("-7.0", "1.0E10"), "w": ("w0", "w6")}
+    assert (got[1, "n"].first_text, got[1, "n"].last_text, got[1, "n"].n_null) == ("-144", "9", 1)
+    assert all((got[2, c].lowest, got[2, c].highest) == (None, None) for c in "vndw") and got[2, "v"].n_distinct == 1
+    bare = Profile(df, "dt", "nr", [ColumnRule("v", highest=90)]).aggregates().where("load = 1").first()
+    assert (bare.lowest, bare.highest) == ("-1000", "10.50")
+
+
 # increments
 
 

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tributary.runtime import broadcast_within, materialise
 
@@ -37,6 +39,9 @@ RANGES = 1024
 #: Loads whose names may be broadcast.
 MAX_LOADS = 200_000
 
+#: Texts that are numbers, in columns with declared numbers but no form.
+NUMBER = r"\A[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
+
 #: Fixed meaning of the marks in a shape.
 MARKS = {"a": "[a-z]+", "A": "[A-Z]+", "9": "[0-9]+", "L": r"\p{L}+", "w": r"[\p{L}0-9]+", "x": r"[\p{L}0-9]+(?:[._+\-]+[\p{L}0-9]+)+"}
 
@@ -189,9 +194,13 @@ class Profile:
     def __init__(self, df: DataFrame, load: str, key: str, rules: list[ColumnRule], null_share=(1, 5), distribution_share=(1, 4)):
         self.df = df.select(F.col(load).alias("load"), F.col(key).alias("key"), *[F.col(f"`{r.name}`").alias(f"c_{r.name}") for r in rules])
         self.rules, self.null_share, self.distribution_share = rules, null_share, distribution_share
-        formed = [r for r in rules if r.form]
-        source = df.select(*[F.col(f"`{r.name}`") for r in formed]) if formed else None
-        self.model = induce(distinct_values(source, formed), formed) if formed else []
+
+    @cached_property
+    def model(self) -> list[Expression]:
+        """The induced expressions, made when first needed."""
+        formed = [r for r in self.rules if r.form]
+        source = self.df.select(*[F.col(f"c_{r.name}").alias(r.name) for r in formed])
+        return induce(distinct_values(source, formed), formed) if formed else []
 
     def _bad_form(self, r: ColumnRule) -> Column:
         v = F.col(f"c_{r.name}").cast("string")
@@ -236,15 +245,41 @@ class Profile:
         return self._judged(self.rules).where(F.col("finding").isNotNull()).select("load", "column_name", "finding", "key")
 
     def aggregates(self) -> DataFrame:
-        """``load, column_name, n_rows, n_null, n_distinct, lowest, highest`` (texts) of every column."""
+        """``load, column_name, n_rows, n_null, n_distinct, lowest, highest, first_text, last_text`` of every column.
+
+        ``lowest`` and ``highest`` are the texts of the extremes in the order of the column's type; NaN is none of
+        them. In text columns with declared numbers they are the extremes of the values that are numbers, NULL if
+        none is. ``first_text`` and ``last_text`` are the extremes of the values as texts.
+        """
+        v = F.col("value")
         pairs = [F.struct(F.lit(r.name).alias("column_name"), F.col(f"c_{r.name}").cast("string").alias("value")) for r in self.rules]
         long = self.df.select("load", F.explode(F.array(*pairs)).alias("p")).select("load", "p.*")
         counts = long.groupBy("load", "column_name", "value").agg(F.count("*").alias("n"))
+        extremes = {name: [F.when(F.col("column_name") == r.name, pick(F.when(at.isNotNull(), F.struct(at.alias("at"), v.alias("value"))))["value"])
+                           for r in self.rules if (at := self._place(r, v)) is not None] for name, pick in (("lowest", F.min), ("highest", F.max))}
+        typed = F.col("column_name").isin([r.name for r in self.rules if self._place(r, v) is not None])
         return counts.groupBy("load", "column_name").agg(
-            F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
-            F.count("value").alias("n_distinct"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
+            F.sum("n").alias("n_rows"), F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.count("value").alias("n_distinct"),
+            F.when(typed, F.coalesce(*extremes["lowest"], F.lit(None))).otherwise(F.min("value")).alias("lowest"),
+            F.when(typed, F.coalesce(*extremes["highest"], F.lit(None))).otherwise(F.max("value")).alias("highest"),
+            F.min("value").alias("first_text"), F.max("value").alias("last_text"),
         )
 
+    def _place(self, r: ColumnRule, text: Column) -> Column | None:
+        """Where the value with this text stands among its column's values; None if texts are compared."""
+        kind = self.df.schema[f"c_{r.name}"].dataType
+        if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+            place = text.try_cast(kind)
+        elif isinstance(kind, NumericType):
+            place = text.try_cast(kind)
+            place = F.when(~F.isnan(place), place) if kind.typeName() in ("double", "float") else place
+        elif isinstance(kind, StringType) and not r.order and (r.distribution or r.lowest is not None or r.highest is not None):
+            place = F.when(text.rlike(r.whole() if r.form else NUMBER), text.try_cast("double"))
+            place = F.when(~F.isnan(place), place)
+        else:
+            return None
+        return F.when(F.col("column_name") == r.name, place)
+
     def coverage(self) -> DataFrame:
         """Rows of each load by induced expression: ``load, column_name, expression, n_rows, share, change``.
 

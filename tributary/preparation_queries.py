@@ -75,8 +75,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_aggregates(spark: SparkSession, sf: str) -> DataFrame:
-    rules = [ColumnRule(r.name) for r in MOCK_RULES]
-    return Profile(read_table(spark, sf, "mock_data"), "dt", "row_nr", rules).aggregates().withColumnRenamed("load", "dt")
+    """Lowest and highest are those of the texts, as in the query's SQL; ``p3_ranges`` has those of the values."""
+    found = _profile(spark, sf).aggregates()
+    return found.select(F.col("load").alias("dt"), "column_name", "n_rows", "n_null", "n_distinct", F.col("first_text").alias("lowest"), F.col("last_text").alias("highest"))
+
+
+def p3_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The range of each column's values in each load, numbers in the order of numbers."""
+    return _profile(spark, sf).aggregates().select(F.col("load").alias("dt"), "column_name", "lowest", "highest")
 
 
 def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,5 +161,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
+    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_ranges, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
 )}
