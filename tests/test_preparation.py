@@ -152,6 +152,15 @@ def test_names_used_at_once_stay_apart(spark):
     assert rename_groups(file_unions(df, "feed", "file", "payload", "attributes"), found, "attributes") == []
 
 
+def test_renames_are_not_left_out(spark):
+    rows = [(1, 1, line(1, a="x", b="y")), (1, 2, line(1, c="x", d="y"))]
+    df = spark.createDataFrame(rows, "feed int, file int, payload string")
+    unions, found = file_unions(df, "feed", "file", "payload", "attributes"), schema_changes(df, "feed", "file", "payload", "attributes", "id")
+    assert sorted(rename_groups(unions, found, "attributes", 4)) == [["a", "c"], ["b", "d"]]
+    with pytest.raises(ValueError, match="renamed names"):
+        rename_groups(unions, found, "attributes", 1)
+
+
 # profile
 
 

@@ -242,12 +242,15 @@ def rename_groups(unions: DataFrame, changes: DataFrame, root: str, max_names: i
 
     Siblings are joined along reported renames unless some file has two of them at once: these are two fields
     there, and joining them would lose one. Levels are taken from the top, so that paths below renamed objects
-    count under the oldest names of these. Names are schema, so they are collected, up to ``max_names``.
+    count under the oldest names of these. Names are schema, so all renames are collected; more than ``max_names``
+    renamed names are an error.
     """
     edges = changes.where(F.col("change_kind") == "renamed").groupBy("old_path", "field_path").agg(F.count("*").alias("n"))
-    found = edges.orderBy(F.col("n").desc(), "old_path", "field_path").limit(max_names).collect()
+    found = edges.collect()
     if not found:
         return []
+    if len({r[c] for r in found for c in ("old_path", "field_path")}) > max_names:
+        raise ValueError(f"more than {max_names} renamed names below {root}")
     leaf = lambda p: F.substring_index(p, ".", -1)
     leaves = F.array(*[F.lit(x) for x in sorted({r[c].rpartition(".")[2] for r in found for c in ("old_path", "field_path")})])
     here = F.filter(F.map_keys("paths"), lambda p: F.array_contains(leaves, leaf(p)))
@@ -418,11 +421,11 @@ def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: st
     key's, get a number. If a key with a dot and a deeper path have one name, a record with both gives one of them.
     """
     unions = materialise(file_unions(df, feed, file, payload, root), "unions")
-    groups = rename_groups(unions, schema_changes(df, feed, file, payload, root, record_id), root) if join_renames else []
     fused = unions.select(F.explode("paths").alias("path", "bits")).groupBy("path").agg(F.bit_or("bits").alias("bits"))
     found = fused.orderBy("path").limit(max_paths + 1).collect()
     if len(found) > max_paths:
         raise ValueError(f"more than {max_paths} paths below {root}")
+    groups = rename_groups(unions, schema_changes(df, feed, file, payload, root, record_id), root, max_paths) if join_renames else []
     oldest = {n: g[0] for g in groups for n in g}
     names = {(p := _below(r["path"], root)): _oldest_path(p, oldest) for r in found}
     bits: dict[str, int] = {}
