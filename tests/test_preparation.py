@@ -312,6 +312,15 @@ def test_runs_survive_failures_and_read_late_commits(spark, tmp_path):
     assert sorted(tuple(r) for r in store.intervals().collect()) == [(1, 5), (7, 7)]
 
 
+def test_runs_name_all_loads(spark, tmp_path, monkeypatch):
+    spark.range(1203).selectExpr("id row_nr", "int(id) dt", "int(id) id").coalesce(1).write.parquet(str(tmp_path / "mock_data.parquet"))
+    seen = []
+    monkeypatch.setattr(IntervalStore, "process", lambda self, df, *_: seen.append(df.select("dt").distinct().count()))
+    monkeypatch.setattr(IntervalStore, "read", lambda self: None)
+    queries.p4_runs(spark, str(tmp_path))
+    assert seen == [401, 601, 1203]
+
+
 def test_only_one_of_two_runs_commits(spark, tmp_path):
     one, two = IntervalStore(spark, str(tmp_path / "s")), IntervalStore(spark, str(tmp_path / "s"))
     rows = spark.createDataFrame([(1,)], "seq long")

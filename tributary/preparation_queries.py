@@ -111,7 +111,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Rows read by four runs over growing, out-of-order deliveries, one of which fails: each row once."""
     rows = read_table(spark, sf, "mock_data").select("row_nr", "dt", "id")
-    store, days = IntervalStore(spark, shared_dir(spark, "runs")), [r[0] for r in rows.select("dt").distinct().orderBy("dt").limit(1000).collect()]
+    store, days = IntervalStore(spark, shared_dir(spark, "runs")), [r[0] for r in rows.select("dt").distinct().orderBy("dt").collect()]
 
     def lost(_: DataFrame) -> DataFrame:
         raise RuntimeError("an executor was lost")
