@@ -231,6 +231,11 @@ def test_garbled_texts_are_found_and_restored(spark, corpus):
     assert sum(found[i].restored == bad[i] for i in found) >= 0.8 * len(found)
 
 
+def test_quoted_words_are_not_restored(spark, corpus):
+    model = train(spark.createDataFrame([(t,) for t in corpus], "text string"), "text")
+    assert model.text("`GrÃ¶ÃŸe` or GrÃ¶ÃŸe") == (["utf_8>cp1252"], "`GrÃ¶ÃŸe` or Größe")
+
+
 def test_garbled_edges(spark, corpus):
     model = train(spark.createDataFrame([(t,) for t in corpus], "text string"), "text")
     judge = lambda t: model.text(t)
