@@ -240,6 +240,34 @@ def test_ranges_are_those_of_the_values(spark):
     assert (bare.lowest, bare.highest) == ("-1000", "10.50")
 
 
+def test_findings_come_from_the_induced_expressions(spark, monkeypatch):
+    rows = [(1, i, f"ab{i}", 1, None) for i in range(50)] + [(1, 90 + i, f"A{i}", 1, None) for i in range(9)]
+    assert {r.key for r in profile(spark, rows, RULES).row_findings().collect()} == set(range(90, 99))
+    off = profile(spark, rows, RULES)
+    monkeypatch.setattr(Profile, "model", [])
+    assert off.row_findings().count() == 0
+
+
+def test_words_of_a_mixed_shape_are_spelled_out(spark):
+    rows = [(1, i, w, 1, None) for i, w in enumerate(["F", "M", "W", "X", "f", "no", None] * 3)]
+    p = profile(spark, rows, [ColumnRule("v", form="[FM]")])
+    assert {(e.words, e.verdict) for e in p.model if e.words} == {(("F", "M"), "inside"), (("W", "X"), "outside")}
+    assert {(r.expression, r.verdict) for r in p.expressions().collect()} >= {("[A-Z]+", "mixed")}
+    assert {r.key % 7 for r in p.row_findings().collect()} == {2, 3, 4, 5}
+
+
+def test_rows_depart_from_the_expressions_of_the_load_before(spark):
+    load = lambda dt, *words: [(dt, 1000 * dt + 100 * k + i, f"{w}{i}", 1, None) for k, w in enumerate(words) for i in range(40)]
+    rows = load(1, "ab", "ab") + load(2, "ab", "x-") + load(3, "x-", "Q ") + [(3, 9999, None, 1, None), (4, 4000, None, 1, None)] + load(5, "z")
+    p = profile(spark, rows, RULES)
+    got = {(r.load, r.key // 100 % 10, r.expression) for r in p.departures().collect()}
+    assert got == {(2, 1, "[a-z]+\\-[0-9]+"), (3, 1, "[A-Z]+ [0-9]+")}
+    moved = {(r.load, r.finding, r.expression) for r in p.coverage_findings(0.1).collect()}
+    assert {(2, "appeared", "[a-z]+\\-[0-9]+"), (2, "fallen", "[a-z]+[0-9]+"), (3, "vanished", "[a-z]+[0-9]+"), (5, "appeared", "[a-z]+[0-9]+")} <= moved
+    none = profile(spark, [], RULES)
+    assert none.departures().count() == none.coverage_findings().count() == none.expressions().count() == 0
+
+
 # increments
 
 
@@ -343,7 +371,7 @@ CELLS = [
 
 def split(spark, cells):
     df = spark.createDataFrame([(i, "s", c, 1, "z") for i, c in enumerate(cells)], "nr int, src string, c string, pos int, item_text string")
-    return sorted((r.nr, r.pos, r.item_text) for r in split_packed(df, ["nr"], "src", "c").collect())
+    return sorted((r.nr, r.pos, r.item_text) for r in split_packed(df, ["nr"], "src", "c", min_score=0.0).collect())
 
 
 def test_packed_cells(spark):
@@ -370,6 +398,17 @@ def test_packed_edges(spark):
     assert scores["s", ","].chosen and not scores["s", "|"].chosen and scores["t", ";"].score == 1
 
 
+def test_inferred_delimiters_decide(spark):
+    cells = [(i, "s", f"a{i};b c") for i in range(9)] + [(10, "s", "x&y (old);7"), (11, "s", "it's 5\" wide;\"q;r\""), (12, "s", "one")]
+    df = spark.createDataFrame(cells, "nr int, src string, c string")
+    split_at = lambda **k: {(r.nr, r.pos): r.item_text for r in split_packed(df, ["nr"], "src", "c", **k).collect()}
+    by_score, by_all = split_at(), split_at(min_score=0.0)
+    assert by_score[10, 0] == "x&y (old)" and by_score[11, 0] == "it's 5\" wide" and by_score[11, 1] == "q;r" and len(by_score) == 9 * 2 + 5
+    assert [by_all[10, p] for p in (0, 1, 2, 4)] == ["x", "y", "old", "7"]
+    none = infer_delimiters(df.limit(0), "src", "c")
+    assert {t for (_, p), t in split_at(delimiters=none).items() if p == 0} == {c for _, _, c in cells}
+
+
 def test_packed_on_the_tables(spark, small):
     got = {tuple(r) for r in queries.p5_found(spark, small).collect()}
     cells = spark.read.parquet(f"{small}/status_records.parquet").select("rec_nr", "b.itms").where("itms is not null").distinct().collect()

@@ -1,17 +1,20 @@
 """Several values packed in one field, split into one row per value with its position.
 
-The delimiters of each source are inferred first: every character outside quotes that is no item character
-is a candidate, scored over the source's cells by piece-count consistency (the share of its cells in which
-splitting by it alone leaves no other candidate) and by piece type regularity (the share of pieces that are
-numbers, codes, words or quoted). Candidates reaching ``MIN_SCORE`` make the source's delimiter set, by which
-cells are split. Pieces that still hold foreign characters outside quotes are split at these (an exact
-check: sources mix delimiters within a cell, so no single delimiter per source could be right).
+The delimiters of each source are inferred first: every character that separates under the declared grammar (it
+stands outside quoted items and is no item character) is a candidate, scored over the source's cells by piece-count
+consistency (the share of its cells in which splitting by it alone leaves no other candidate, times how even the
+numbers of pieces are) and by piece type regularity (the share of pieces that are numbers, codes, words or
+quoted). Candidates that reach ``min_score`` make the source's delimiter set.
+
+What decides: cells are split at the characters of their source's set and nowhere else. A candidate that was not
+chosen is text, and a source without a set has cells of one item. With ``min_score`` 0 every candidate seen in a source
+is in its set, which is what a definition by which any foreign character separates asks for.
 
 Defined results
 * NULL and blank cells, and cells that hold nothing but brackets, give no row; empty items count in the
   positions but give no row.
 * A source that is NULL is a source of its own. Repeated rows: see ``split_packed``.
-* A quote that is never closed counts as a separator.
+* A quote that is never closed, or stands inside an item, is a candidate like any other character.
 """
 
 from __future__ import annotations
@@ -40,31 +43,31 @@ def unwrap(cell: Column) -> Column:
     return F.when(wrapped & (F.length(bare) >= 2), bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare)
 
 
-def separators(cell: Column) -> Column:
-    """The characters outside quoted items that are no item characters, in order, as one string."""
-    return F.regexp_replace(F.regexp_replace(cell, "(?s)" + QUOTED, ""), f"[{ITEM}]", "")
+#: Ends every cell, so that each item is followed by exactly one separator.
+_END = "\x01"
+
+#: The declared grammar: any character outside quoted items that is no item character separates.
+_DECLARED = rf"(?s)\G *(?:(?:{QUOTED})|[{ITEM}]*+) *+([^{ITEM}])"
 
 
 def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = MIN_SCORE) -> DataFrame:
     """``source, delimiter, cells, consistency, regularity, score, chosen`` of every candidate.
 
-    Two map-side aggregated passes in one shuffle; the result has one row per source and character.
+    One pass with map-side aggregation and one shuffle of a row per source and character.
     """
     inner = F.col("__c")
     bare = F.regexp_replace(inner, "(?s)" + QUOTED, "q")
     kinds = F.regexp_replace(F.regexp_replace(bare, r"[\p{N}][\p{N}_.]*", "9"), r"[\p{L}\p{M}]+", "w")
-    marks = F.regexp_replace(bare, f"[{ITEM}]", "")
+    marks = F.regexp_extract_all(F.concat(inner, F.lit(_END)), F.lit(_DECLARED), F.lit(1))
     cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(F.col("__c").isNotNull())
-    cells = cells.select("__s", marks.alias("__m"), kinds.alias("__k")).where("__m <> ''")
-    per = cells.select(
-        "__s", "__k", F.explode(F.array_distinct(F.split("__m", ""))).alias("__d"),
-        F.size(F.array_distinct(F.split("__m", ""))).alias("__n"),
-    ).where("__d <> ''")
+    cells = cells.select("__s", F.array_distinct(F.slice(marks, 1, F.size(marks) - 1)).alias("__m"), kinds.alias("__k"))
+    per = cells.select("__s", "__k", F.explode("__m").alias("__d"), F.size("__m").alias("__n"))
     pieces = F.split(F.translate("__k", "\\", "/"), F.concat(F.lit("\\Q"), F.translate("__d", "\\", "/"), F.lit("\\E")))
     regular = F.size(F.filter(pieces, lambda p: F.trim(p).rlike(r"^(?:|q|9|w|w-9|w(?: +(?:w|9))*)\z")))
-    per = per.select("__s", "__d", (F.col("__n") <= 1).cast("double").alias("__sole"), (regular / F.size(pieces)).alias("__r"))
+    size = F.size(pieces).cast("double")
+    per = per.select("__s", "__d", (F.col("__n") <= 1).cast("double").alias("__sole"), (regular / size).alias("__r"), size.alias("__p"))
     scored = per.groupBy("__s", "__d").agg(
-        F.count("*").alias("cells"), F.avg("__sole").alias("consistency"), F.avg("__r").alias("regularity")
+        F.count("*").alias("cells"), (F.avg("__sole") * F.sqrt(F.avg("__p") * F.avg("__p") / F.avg(F.col("__p") * F.col("__p")))).alias("consistency"), F.avg("__r").alias("regularity")
     )
     score = F.col("consistency") * F.col("regularity")
     return scored.select(
@@ -73,21 +76,11 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     )
 
 
-#: Ends every cell and piece, so that each item is followed by exactly one separator.
-_END = "\x01"
-
-#: The whole grammar: any character outside quotes that is no item character separates.
-_STRICT = rf"(?s)\G *((?:{QUOTED})|[{ITEM}]*+) *+[^{ITEM}]"
-_REGULAR = rf"(?s)^ *(?:{QUOTED}|[{ITEM}]*+) *\z"
-
-
 def items_of(cell: Column, delimiters: Column) -> Column:
-    """The items of an unwrapped cell in order, empty ones included; ``delimiters`` is a text of characters."""
+    """The items of an unwrapped cell in order, empty ones included; ``delimiters`` is a text of the characters that separate."""
     marks = F.concat(F.regexp_replace(F.coalesce(delimiters, F.lit("")), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(_END))
-    one = F.concat(F.lit(rf"(?s)\G((?:{QUOTED}|[^\"'"), marks, F.lit("]++|[\"'])*+)["), marks, F.lit("]"))
-    pieces = F.regexp_extract_all(F.concat(cell, F.lit(_END)), one, F.lit(1))
-    strict = lambda p: F.regexp_extract_all(F.concat(p, F.lit(_END)), F.lit(_STRICT), F.lit(1))
-    return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(_REGULAR), F.array(p)).otherwise(strict(p))))
+    one = F.concat(F.lit(rf"(?s)\G *((?:{QUOTED})(?= *+["), marks, F.lit("])|[^"), marks, F.lit("]*+) *+["), marks, F.lit("]"))
+    return F.regexp_extract_all(F.concat(cell, F.lit(_END)), one, F.lit(1))
 
 
 def unquote(item: Column) -> Column:
@@ -101,16 +94,16 @@ def unquote(item: Column) -> Column:
     return out
 
 
-def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimiters: DataFrame | None = None) -> DataFrame:
+def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimiters: DataFrame | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """``keys, pos, item_text``: one row per non-empty item of ``cell``, positions 0-based over all items.
 
     Rows that agree in ``keys`` count once; if their cells differ, the least cell is taken. ``delimiters`` is
-    a table as of ``infer_delimiters``, inferred from ``df`` by default. It is grouped to one row per source,
+    a table as of ``infer_delimiters``, inferred from ``df`` with ``min_score`` by default. It is grouped to one row per source,
     counted, and broadcast up to ``MAX_SOURCES``; beyond that the join shuffles.
     """
     if {k.lower() for k in keys} & {"pos", "item_text"}:
         raise ValueError("pos and item_text are names of the result; rename the key")
-    found = infer_delimiters(df, source, cell) if delimiters is None else delimiters
+    found = infer_delimiters(df, source, cell, min_score) if delimiters is None else delimiters
     marks = F.array_join(F.array_sort(F.collect_set(F.when(F.col("chosen"), F.col("delimiter")))), "")
     sets = broadcast_within(materialise(found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d")), "delimiters"), MAX_SOURCES)
     once = df.groupBy(*keys).agg(F.min(F.struct(F.col(cell).alias("__c"), F.col(source).alias("__s"))).alias("__x"))

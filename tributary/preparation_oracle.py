@@ -77,6 +77,11 @@ ORACLE = {
             when length(x) >= 2 and x[1] = '"' and x[-1] = '"' then replace(replace(x[2:-2], '""', '"'), chr(92) || '"', '"')
             when length(x) >= 2 and x[1] = chr(39) and x[-1] = chr(39) then replace(replace(x[2:-2], chr(39) || chr(39), chr(39)), chr(92) || chr(39), chr(39))
             else x end as y from f) where y <> ''""",
+    "p5_inferred": """
+        with r as (select distinct rec_nr from status_records)
+        select rec_nr, 0 as pos, cast(rec_nr as varchar) as item_text from r
+        union all select rec_nr, 1, case when rec_nr % 6 = 0 then 'Pump & Valve #9 (old)' else 'net' end from r
+        union all select rec_nr, 2, 'x' || (rec_nr % 7) from r""",
     "p6_found": r"""
         with raw as (
                select 'status_records' as table_name, rec_nr as row_key, 'a.ts' as field_name, trim(a.ts, ' ') as x, tz_name as tz, day_order as o from (select distinct rec_nr, src, a from status_records) left join source_zones using (src)

@@ -91,8 +91,17 @@ def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_expressions(spark: SparkSession, sf: str) -> DataFrame:
     """The induced expressions with the number of distinct values they describe."""
-    rows = [(e.column, e.level, e.regex, e.values, e.verdict) for e in _profile(spark, sf).model]
-    return spark.createDataFrame(rows, "column_name string, level int, expression string, n_values bigint, verdict string")
+    return _profile(spark, sf).expressions()
+
+
+def p3_departures(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that the expressions of the load before do not describe; no declared form decides here."""
+    return _profile(spark, sf).departures().select(F.col("load").alias("dt"), "column_name", "expression", F.col("key").alias("row_nr"))
+
+
+def p3_coverage_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Expressions whose share of a load's values moved against the load before."""
+    return _profile(spark, sf).coverage_findings().withColumnRenamed("load", "dt")
 
 
 def _bound(text):
@@ -126,8 +135,17 @@ def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Any foreign character separates by definition, so a source's set holds all candidates seen in it (``min_score`` 0)."""
     cells = read_table(spark, sf, "status_records").select("rec_nr", "src", F.col("b.itms").alias("itms"))
-    return split_packed(cells, ["rec_nr"], "src", "itms")
+    return split_packed(cells, ["rec_nr"], "src", "itms", min_score=0.0)
+
+
+def p5_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells written with one delimiter a source, in which every sixth holds other marks inside a name: only the scores tell them apart."""
+    mark = F.when(F.col("src") == "crm_alp", ";").when(F.col("src") == "shop_east", "|").otherwise(",")
+    name = F.when(F.col("rec_nr") % 6 == 0, "Pump & Valve #9 (old)").otherwise("net")
+    cell = F.concat_ws("", F.col("rec_nr").cast("string"), mark, name, mark, F.lit("x"), (F.col("rec_nr") % 7).cast("string"))
+    return split_packed(read_table(spark, sf, "status_records").select("rec_nr", "src", cell.alias("cell")), ["rec_nr"], "src", "cell")
 
 
 def p5_delimiters(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,5 +179,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_ranges, p3_coverage, p3_expressions, p4_found, p4_runs, p5_found, p5_delimiters, p6_found,
+    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_ranges, p3_coverage, p3_expressions, p3_departures, p3_coverage_changes, p4_found, p4_runs, p5_found, p5_inferred, p5_delimiters, p6_found,
 )}
