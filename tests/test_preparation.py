@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from tributary import preparation_queries as queries
+from tributary.operators import drift
 from tributary.operators.drift import file_unions, rename_groups, schema_changes, unify
 from tributary.operators.instants import InstantDictionary, normalise, parse_instants
 from tributary.operators.intervals import IntervalStore, merge_table, not_covered, present_ranges, unread_changes
@@ -98,11 +99,39 @@ def test_drift_edge_cases(spark):
     assert changes(spark, []) == set()
     deep = '{"id": 1, "attributes": ' + '{"a":' * 3000 + "1" + "}" * 3001
     long = line(1, a="x" * 300_000, b=[{"c": i} for i in range(5000)])
-    assert changes(spark, [(1, 1, deep), (1, 1, '{"id": 1, "attributes": {"z": NaN}}'), (1, 1, long), (1, 2, line(1, d="x" * 300_000, b=[]))]) == {
+    nested = {(1, 2, "removed", "attributes" + ".a" * k, "") for k in range(1, 3001)}
+    assert changes(spark, [(1, 1, deep), (1, 1, '{"id": 1, "attributes": {"z": NaN}}'), (1, 1, long), (1, 2, line(1, d="x" * 300_000, b=[]))]) == nested | {
+        (1, 2, "added", "attributes.d", ""), (1, 2, "removed", "attributes.b[].c", ""),
+    }
+    assert changes(spark, [(1, 1, long), (1, 2, line(1, d="x" * 300_000, b=[]))]) == {
         (1, 2, "renamed", "attributes.d", "attributes.a"), (1, 2, "removed", "attributes.b[].c", ""),
     }
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(
+    st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text()), lambda x: st.lists(x) | st.dictionaries(st.text(), x)).map(json.dumps),
+    st.text(alphabet='{}[]",:0123456789-+.eE ntrfalsu\\\n\t', max_size=30),
+))
+def test_deep_parser_reads_what_the_other_reads(text):
+    def read(parse):
+        try:
+            return repr(parse(text))
+        except ValueError:
+            return ValueError
+
+    want = read(lambda t: json.loads(t, parse_constant=drift._no_number, parse_float=drift._number))
+    assert read(drift._deep) == want
+
+
+def test_very_deep_lines():
+    for opened, closed in (('{"a":', "}"), ("[", "]"), ('[{"b":', "}]")):
+        text = '{"x":' + opened * 50_000 + "1" + closed * 50_000 + "}"
+        assert drift._document(text) is not None and drift._document(text[:-1]) is None and drift._document(text + "]") is None
+        assert len(drift._json_text(drift._document(text), "", {})) == len(text)
+    assert drift._document('{"a":' + "9" * 5000 + "}")["a"].text == "9" * 5000 and drift._document('{"a": -01}') is None
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 2), st.integers(1, 3), st.integers(1, 3), st.dictionaries(st.sampled_from("abc"), st.one_of(st.none(), st.booleans(), st.integers(0, 1), st.sampled_from(["", "u"]), st.lists(st.dictionaries(st.sampled_from("xy"), st.integers(0, 1)), max_size=2)), max_size=3)), max_size=12))
 def test_drift_as_plain(spark, drawn):
@@ -145,6 +174,28 @@ def test_unify_nested_paths(spark):
     assert got[2, "2"]["f"] is None and got[1, "2"]["f"] == "[]" and got[1, "2"]["f[].name"] is None
 
 
+def test_table_and_report_read_the_same_lines(spark):
+    deep = '{"id": 4, "attributes": ' + '{"d":' * 500 + "1" + "}" * 501
+    lines = ['{"id": 1, "attributes": {"a": 9007199254740993, "a": 9007199254740993}}', line(2, a=9007199254740993), line(3, a="x"), line(5, a=0.1), line(6, a=10**25), line(7, a=1e300), deep, '{"id": 8, "attr']
+    rows = [(1, 1, x) for x in lines] + [(1, 2, line(1, a=1))]
+    df = spark.createDataFrame(rows, "feed int, file int, payload string")
+    out = unify(df, ["feed", "file"], "payload", "attributes", "id", "feed", "file", exact_numbers=True)
+    got = {r["id"]: r for r in out.where("file = 1").collect()}
+    assert set(got) == set("1234567") and len(out.columns) > 500
+    assert got["1"].a == got["2"].a == "9007199254740993" and got["2"].a__integer == 9007199254740993 and got["2"].a__decimal == 9007199254740993
+    assert got["3"].a__string == "x" and str(got["5"].a__decimal).rstrip("0") == "0.1" and got["5"].a__integer is None and got["5"].a__number == 0.1
+    assert str(got["6"].a__decimal) == "None" and got["6"].a == "1" + "0" * 25 and got["7"].a__number == 1e300 and got["7"].a__integer is None
+    assert got["4"]["d" + ".d" * 499] == "1"
+    paths = file_unions(df, "feed", "file", "payload", "attributes").where("file = 1").first().paths
+    assert "attributes" + ".d" * 500 in paths and paths["attributes.a"] == 3
+
+
+def test_renames_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_SIDES", 0)
+    rows = [(1, f, line(i, **{"a" if f == 1 else "b": i, "c": [{"x": i} if f == 1 else {"y": i}, None]})) for f in (1, 2) for i in range(50)] * 3
+    assert changes(spark, rows) == {(1, 2, "renamed", "attributes.b", "attributes.a"), (1, 2, "renamed", "attributes.c[].y", "attributes.c[].x")}
+
+
 def test_names_used_at_once_stay_apart(spark):
     rows = [(1, 1, line(1, a="x")), (1, 2, line(1, b="x")), (2, 1, line(1, a="p", b="q"))]
     df = spark.createDataFrame(rows, "feed int, file int, payload string")

@@ -8,8 +8,8 @@ files into one table in which a path with conflicting types has a typed branch p
 canonical text.
 
 Defined results
-* Lines that are no valid JSON (NULL, blank, cut off) are ignored, and so is JSON that is no object or is
-  nested more than ``MAX_DEPTH`` levels deep.
+* Lines that are no valid JSON (NULL, blank, cut off) are ignored, and so is JSON that is no object. Report and table
+  read lines with one parser, to any depth and with any number of digits; of a repeated key the last value counts.
 * A key exists if any record has it, be its value NULL. A file without any valid line has no paths.
 * Repeated lines change nothing. A key with a dot in its name reads like a deeper path.
 * Several paths may be renames of one: every pair that meets the definition is reported.
@@ -23,25 +23,33 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, DoubleType, LongType, StringType, StructField, StructType
 
-from tributary.runtime import materialise
+from tributary.runtime import broadcast_within, materialise
 
 #: Bit of each JSON type in a union; 0 is null.
 TYPES = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
-#: Levels of nesting beyond which a line counts as invalid.
-MAX_DEPTH = 400
-#: Parts over which the records of one file are spread when their values are compared.
-SALT = 16
+#: Characters of paths that a task gathers before it hands them on.
+GATHERED = 1 << 25
+#: Files with renames whose paths may be broadcast; beyond them the records of a file are spread over this many parts.
+MAX_SIDES, SALT = 100_000, 64
 #: Digits up to which numbers are written without an exponent.
 PLAIN_DIGITS = 400
 #: Records per batch of the unified table.
 ROWS = 1000
+#: Digits of exact numbers, and those behind the point.
+DECIMAL = 38, 18
+#: Column types of the branches that are no text.
+KINDS = {
+    "number": (DoubleType(), pa.float64()), "boolean": (BooleanType(), pa.bool_()), "integer": (LongType(), pa.int64()),
+    "decimal": (DecimalType(*DECIMAL), pa.decimal128(*DECIMAL)),
+}
 
 
 def _type_bit(value) -> int:
@@ -56,90 +64,175 @@ def _type_bit(value) -> int:
     return 8 if isinstance(value, dict) else 16
 
 
-def _walk(value, path: str, out: dict) -> None:
-    """OR the type of every key below ``value`` into ``out``."""
-    todo = [(value, path)]
+def _walk(value, path: str, out: dict) -> int:
+    """OR the type of every key below ``value`` into ``out``; how many characters new paths have."""
+    todo, long = [(value, path)], 0
     while todo:
         value, path = todo.pop()
         if isinstance(value, dict):
             for k, v in value.items():
                 p = f"{path}.{k}"
+                if p not in out:
+                    long += len(p)
                 out[p] = out.get(p, 0) | _type_bit(v)
                 if isinstance(v, (dict, list)):
                     todo.append((v, p))
         else:
             todo += [(v, f"{path}[]") for v in value if isinstance(v, (dict, list))]
-
-
-def _too_deep(text: str) -> bool:
-    if text.count("{") + text.count("[") <= MAX_DEPTH:
-        return False
-    depth = most = 0
-    for c in re.sub(r'"[^"\\]*(?:\\.[^"\\]*)*"', "", text):
-        depth += (c in "{[") - (c in "}]")
-        most = max(most, depth)
-    return most > MAX_DEPTH
+    return long
 
 
 def _no_number(text: str):
     raise ValueError(f"{text} is no JSON")
 
 
-def _record(payload: str | None):
+class _Number(float):
+    """A number that is no integer, with its exact text."""
+
+    text: str
+
+
+def _number(token: str) -> _Number:
+    value = _Number(token)
+    exact = Decimal(token)
+    plain = f"{exact:f}" if abs(exact.adjusted()) <= PLAIN_DIGITS else str(exact)
+    if "." in plain and "E" not in plain:
+        plain = plain.rstrip("0").rstrip(".")
+    value.text = "0" if not exact else plain
+    return value
+
+
+def _whole(token: str) -> int | _Number:
+    try:
+        return int(token)
+    except ValueError:  # more digits than the interpreter converts
+        return _number(token)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_TOKEN = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _deep(text: str):
+    """JSON of any depth: what the recursive parser gives up on, read with a stack of the open objects and arrays."""
+    blank = lambda i: _BLANK.match(text, i).end()
+    stack: list = []
+    at = blank(0)
+    while True:
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            stack.append([{} if mark == "{" else [], None])
+            at = blank(at + 1)
+            if text[at : at + 1] == ("}" if mark == "{" else "]"):
+                value, at = stack.pop()[0], at + 1
+            elif mark == "[":
+                continue
+            else:
+                stack[-1][1], at = _key(text, at, blank)
+                continue
+        elif mark == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif token := _TOKEN.match(text, at):
+            whole, point, power = token.groups()
+            value = _WORDS[token[0]] if whole is None else _number(token[0]) if point or power else _whole(whole)
+            at = token.end()
+        else:
+            raise ValueError("no value")
+        while True:
+            at = blank(at)
+            if not stack:
+                if at != len(text):
+                    raise ValueError("more than one value")
+                return value
+            holder, key = stack[-1]
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = blank(at + 1)
+                if isinstance(holder, dict):
+                    stack[-1][1], at = _key(text, at, blank)
+                break
+            if mark != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("not closed")
+            value, at = stack.pop()[0], at + 1
+
+
+def _key(text: str, at: int, blank) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError("no key")
+    key, at = scanstring(text, at + 1, True)
+    at = blank(at)
+    if text[at : at + 1] != ":":
+        raise ValueError("no value")
+    return key, blank(at + 1)
+
+
+def _document(payload: str | None):
+    """The object in a line, numbers exact; NULL if the line is no JSON object."""
+    if payload is None:
+        return None
     try:
-        record = None if payload is None or _too_deep(payload) else json.loads(payload, parse_constant=_no_number)
+        try:
+            record = json.loads(payload, parse_constant=_no_number, parse_float=_number)
+        except RecursionError:
+            record = _deep(payload)
+        except json.JSONDecodeError:
+            return None
+        except ValueError:  # very many digits, or no JSON
+            record = _deep(payload)
     except ValueError:
         return None
     return record if isinstance(record, dict) else None
 
 
-def _canonical(value) -> str:
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_canonical(v)}" for k, v in sorted(value.items())) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return json.dumps(value)
-
-
-def _pick(value, steps: list[str]):
-    """The value at the end of ``steps``; behind an array, the list over its elements. NULL if there is none."""
-    for i, step in enumerate(steps):
+def _pick(record, path: str):
+    """The value at ``path``; behind an array, the list over its elements, NULL if no element has one."""
+    top = [record]
+    slots, spread = [(top, 0)], []
+    for step in path.split("."):
         arrays = 0
         while step.endswith("[]"):
             step, arrays = step[:-2], arrays + 1
-        if not isinstance(value, dict) or step not in value:
-            return None
-        value = value[step]
-        if arrays:
-            found = _spread(value, arrays, steps[i + 1 :])
-            return found
-    return value
-
-
-def _spread(value, arrays: int, rest: list[str]):
-    if not arrays:
-        return _pick(value, rest)
-    if not isinstance(value, list):
-        return None
-    found = [_spread(v, arrays - 1, rest) for v in value]
-    return found if any(f is not None for f in found) else None
+        for holder, i in slots:
+            holder[i] = holder[i].get(step) if isinstance(holder[i], dict) else None
+        for _ in range(arrays):
+            inner = []
+            for holder, i in slots:
+                holder[i] = list(holder[i]) if isinstance(holder[i], list) else None
+                if holder[i] is not None:
+                    spread.append((holder, i))
+                    inner += [(holder[i], k) for k in range(len(holder[i]))]
+            slots = inner
+    for holder, i in reversed(spread):
+        if all(v is None for v in holder[i]):
+            holder[i] = None
+    return top[0]
 
 
 def file_unions(df: DataFrame, feed: str, file: str, payload: str, root: str) -> DataFrame:
     """``feed, file, paths`` with ``paths`` a map from path to type bits, for every file."""
 
+    def gathered(seen: dict) -> pa.RecordBatch:
+        rows = [(fd, fl, _sound(p) if p else p, t) for (fd, fl), out in seen.items() for p, t in (out or {None: 0}).items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["feed", "file", "path", "bits"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        long = 0
         for batch in batches:
-            seen: dict = {}
             for fd, fl, text in zip(*(c.to_pylist() for c in batch.columns)):
                 out = seen.setdefault((fd, fl), {})
-                record = _record(text)
+                record = _document(text)
                 if record is not None and isinstance(record.get(root), (dict, list)):
-                    _walk(record[root], root, out)
-            rows = [(fd, fl, p, t) for (fd, fl), out in seen.items() for p, t in (out or {None: 0}).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["feed", "file", "path", "bits"])
+                    long += _walk(record[root], root, out)
+                    if long > GATHERED:
+                        yield gathered(seen)
+                        seen, long = {}, 0
+        yield gathered(seen)
 
     source = df.select(F.col(feed).cast("long"), F.col(file).cast("long"), F.col(payload))
     raw = source.mapInArrow(scan, "feed long, file long, path string, bits int")
@@ -167,8 +260,9 @@ def neighbour_changes(unions: DataFrame) -> DataFrame:
 def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: str, record_id: str) -> DataFrame:
     """``feed, file, new_path, old_path`` of ceased and new siblings with equal values in all common records.
 
-    Only files with such siblings are read again, and only the values of these paths travel, as hashes. The
-    records of one file are spread over ``SALT`` parts, so no file is read or joined by one task.
+    Only files with such siblings are read again, and only the values of these paths travel, as hashes. What to look
+    for in which file is broadcast after a count; beyond ``MAX_SIDES`` the records of one file are spread over ``SALT``
+    parts, so no file is read or joined by one task.
     """
     parents = lambda c: F.array_distinct(F.transform(c, _parent))
     common = F.array_intersect(parents(F.col("ceased")), parents(F.col("added")))
@@ -179,27 +273,32 @@ def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: s
         F.struct(F.col("file").alias("at"), F.col("file").alias("of"), F.lit("n").alias("side"), F.col("added").alias("paths")),
         F.struct(F.col("old_file").alias("at"), F.col("file").alias("of"), F.lit("o").alias("side"), F.col("ceased").alias("paths")),
     )).alias("s")).select("feed", "s.*")
-    sides = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     source = df.select(F.col(feed).cast("long").alias("feed"), F.col(file).cast("long").alias("at"), F.col(payload).alias("payload"))
-    source = source.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(SALT)).cast("int"))
-    tasks = source.join(sides, ["feed", "at", "salt"]).select("feed", "of", "side", "paths", "payload")
+    small = broadcast_within(sides, MAX_SIDES)
+    if small is not sides:
+        tasks = source.join(small, ["feed", "at"])
+    else:
+        sides = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        source = source.withColumn("salt", F.pmod(F.xxhash64("payload", F.monotonically_increasing_id()), F.lit(SALT)).cast("int"))
+        tasks = source.join(sides, ["feed", "at", "salt"])
+    tasks = tasks.select("feed", "of", "side", "paths", "payload")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for fd, of, side, paths, text in zip(*(c.to_pylist() for c in batch.columns)):
-                record = _record(text)
+                record = _document(text)
                 if record is None or record.get(record_id) is None:
                     continue
+                own = _digest(record[record_id])
                 for p in paths:
-                    value = _pick(record, p.split("."))
+                    value = _pick(record, p)
                     if value is not None:
-                        digest = hashlib.blake2b(_canonical(value).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        rows.append((fd, of, side, p, _canonical(record[record_id]), digest))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+                        rows.append((fd, of, side, p, own, _digest(value)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["feed", "file", "side", "path", "id", "value"])
 
-    cells = tasks.mapInArrow(values, "feed long, file long, side string, path string, id string, value binary")
+    cells = tasks.mapInArrow(values, "feed long, file long, side string, path string, id binary, value binary")
     cells = cells.withColumn("parent", _parent(F.col("path")))
     grouped = cells.groupBy("feed", "file", "parent", "id").agg(
         F.collect_set(F.when(F.col("side") == "n", F.struct("path", "value"))).alias("new"),
@@ -296,42 +395,16 @@ def _oldest_path(path: str, oldest: dict[str, str]) -> str:
     return out
 
 
-class _Number(float):
-    """A number that is no integer, with its exact text."""
-
-    text: str
-
-
-def _number(token: str) -> _Number:
-    value = _Number(token)
-    exact = Decimal(token)
-    plain = f"{exact:f}" if abs(exact.adjusted()) <= PLAIN_DIGITS else str(exact)
-    if "." in plain and "E" not in plain:
-        plain = plain.rstrip("0").rstrip(".")
-    value.text = "0" if not exact else plain
-    return value
-
-
-def _whole(token: str) -> int | _Number:
-    try:
-        return int(token)
-    except ValueError:  # more digits than the interpreter converts
-        return _number(token)
-
-
-def _document(payload: str | None):
-    try:
-        record = None if payload is None else json.loads(payload, parse_constant=_no_number, parse_float=_number, parse_int=_whole)
-    except (ValueError, RecursionError):
-        return None
-    return record if isinstance(record, dict) else None
-
-
 def _sound(text: str) -> str:
     """``text`` without halves of characters, which no table can hold."""
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
+def _digest(value) -> bytes:
+    """128 bits of a value's canonical text, strings apart from all else."""
+    return hashlib.blake2b(_json_text(value, "", {}).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _json_text(value, path: str, names: dict[str, str]) -> str:
     """Compact JSON with sorted keys, in which objects at and below ``path`` have canonical names."""
     out, todo = [], [(value, path)]
@@ -342,8 +415,8 @@ def _json_text(value, path: str, names: dict[str, str]) -> str:
         elif isinstance(value, dict):
             named: dict = {}
             for k, v in value.items():
-                at = f"{path}.{k}"
-                name = k if "." in k else names.get(at, at).rpartition(".")[2]
+                at = f"{path}.{k}" if names else ""
+                name = k if "." in k or not names else names.get(at, at).rpartition(".")[2]
                 named[k if name != k and (name in value or name in named) else name] = v, at
             parts = [("{", None)]
             for i, k in enumerate(sorted(named)):
@@ -352,7 +425,7 @@ def _json_text(value, path: str, names: dict[str, str]) -> str:
         elif isinstance(value, list):
             parts = [("[", None)]
             for i, v in enumerate(value):
-                parts += [(",", None)] * (i > 0) + [(v, f"{path}[]")]
+                parts += [(",", None)] * (i > 0) + [(v, f"{path}[]" if names else "")]
             todo += reversed([*parts, ("]", None)])
         else:
             out.append(json.dumps(value, ensure_ascii=False) if isinstance(value, str) else _scalar_text(value))
@@ -379,7 +452,7 @@ def _put(row: dict, path: str, inside: tuple, value) -> None:
         at[inside[-1][0]] = value
 
 
-def _cells(value, names: dict[str, str], branched: set[str]) -> dict:
+def _cells(value, names: dict[str, str], branches: set[tuple[str, str]]) -> dict:
     """Values by canonical path and, of paths with branches, by ``(path, type)``."""
     row: dict = {}
     todo = [(value, "", ())]
@@ -389,14 +462,17 @@ def _cells(value, names: dict[str, str], branched: set[str]) -> dict:
             todo += [(v, f"{path}[]", (*inside, (i, len(value)))) for i, v in enumerate(value) if isinstance(v, (dict, list))]
             continue
         for k, v in value.items():
-            at = f"{path}.{k}" if path else k
+            at = f"{path}.{_sound(k)}" if path else _sound(k)
             nested = isinstance(v, (dict, list))
             if v is not None and at in names:
                 text = _sound(_json_text(v, at, names) if nested else _scalar_text(v))
                 _put(row, names[at], inside, text)
-                if names[at] in branched:
-                    kind = next(t for t, bit in TYPES.items() if bit == _type_bit(v))
+                if (names[at], kind := next(t for t, bit in TYPES.items() if bit == _type_bit(v))) in branches:
                     _put(row, (names[at], kind), inside, _float(v) if kind == "number" else v if kind == "boolean" else text)
+                    if kind == "number":
+                        for exact, kept in (("integer", _integer(v)), ("decimal", _decimal(text))):
+                            if kept is not None and (names[at], exact) in branches:
+                                _put(row, (names[at], exact), inside, kept)
             if nested:
                 todo.append((v, at, inside))
     return row
@@ -409,9 +485,28 @@ def _float(value) -> float:
         return math.inf if value > 0 else -math.inf
 
 
-def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: str, feed: str, file: str, max_paths: int = 2000, join_renames: bool = True) -> DataFrame:
+def _integer(value) -> int | None:
+    """A whole number of 64 bits, or NULL."""
+    text = value.text if isinstance(value, _Number) else value
+    if isinstance(text, str):
+        text = int(text) if len(text) < 21 and re.fullmatch(r"-?[0-9]+", text) else None
+    return text if text is not None and -(1 << 63) <= text < 1 << 63 else None
+
+
+def _decimal(text: str) -> Decimal | None:
+    """A number that fits 38 digits, 18 of them behind the point, or NULL."""
+    exact = Decimal(text)
+    fits = exact.adjusted() < DECIMAL[0] - DECIMAL[1] and -exact.as_tuple().exponent <= DECIMAL[1]
+    return exact.quantize(Decimal(1).scaleb(-DECIMAL[1]), context=Context(prec=DECIMAL[0])) if fits else None
+
+
+def unify(
+    df: DataFrame, keys: list[str], payload: str, root: str, record_id: str, feed: str, file: str, max_paths: int = 2000, join_renames: bool = True, exact_numbers: bool = False,
+) -> DataFrame:
     """All records as one table: ``keys``, ``record_id`` and, for each path below ``root``, nested ones too, a text
-    column ``<path>`` (canonical conversion) plus, where types conflict, typed branches ``<path>__<type>``.
+    column ``<path>`` (canonical conversion) plus, where types conflict, typed branches ``<path>__<type>``. Numbers are exact
+    in the text; their branch ``__number`` is a double, beside which ``exact_numbers`` gives ``__integer`` (bigint) and
+    ``__decimal`` (38 digits, 18 behind the point), each NULL where a number does not fit.
 
     Paths found to be renames of each other share the columns of the oldest one, at every level. Columns of
     paths in arrays (``friends[].name``) hold lists as long as the arrays, NULL where an element has no value;
@@ -438,15 +533,16 @@ def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: st
     for first in sorted(bits):
         kinds = [t for t, bit in TYPES.items() if bits[first] & bit]
         kinds = kinds if len(kinds) > 1 else []
+        kinds += ["integer", "decimal"] if exact_numbers and "number" in kinds else []
         name = next(n for n in [first, *(f"{first}__{i}" for i in range(2, 10 * max_paths))] if not taken & {x.lower() for x in [n, *(f"{n}__{t}" for t in kinds)]})
         for cell, column, kind in [(first, name, "string"), *(((first, t), f"{name}__{t}", t) for t in kinds)]:
             taken.add(column.lower())
-            spark_type, arrow = {"number": (DoubleType(), pa.float64()), "boolean": (BooleanType(), pa.bool_())}.get(kind, (StringType(), pa.string()))
+            spark_type, arrow = KINDS.get(kind, (StringType(), pa.string()))
             for _ in range(first.count("[]")):
                 spark_type, arrow = ArrayType(spark_type), pa.list_(arrow)
             fields.append(StructField(column, spark_type))
             columns.append((cell, column, arrow))
-    branched = {cell[0] for cell, _, _ in columns if isinstance(cell, tuple)}
+    branches = {cell for cell, _, _ in columns if isinstance(cell, tuple)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,7 +551,7 @@ def unify(df: DataFrame, keys: list[str], payload: str, root: str, record_id: st
                 documents = [_document(t) for t in part.column(len(keys)).to_pylist()]
                 kept = [i for i, d in enumerate(documents) if d is not None]
                 documents = [documents[i] for i in kept]
-                cells = [_cells(d[root], names, branched) if isinstance(d.get(root), (dict, list)) else {} for d in documents]
+                cells = [_cells(d[root], names, branches) if isinstance(d.get(root), (dict, list)) else {} for d in documents]
                 ids = [None if (v := d.get(record_id)) is None else _sound(_json_text(v, "", {}) if isinstance(v, (dict, list)) else _scalar_text(v)) for d in documents]
                 arrays = [part.column(i).take(pa.array(kept, pa.int64())) for i in range(len(keys))] + [pa.array(ids, pa.string())]
                 arrays += [pa.array([c.get(cell) for c in cells], arrow) for cell, _, arrow in columns]

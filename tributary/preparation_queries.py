@@ -63,7 +63,7 @@ def p2_alternatives(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     raw = read_table(spark, sf, "raw_records")
-    return unify(raw, ["feed_nr", "file_nr", "line_nr"], "payload", "attributes", "id", "feed_nr", "file_nr")
+    return unify(raw, ["feed_nr", "file_nr", "line_nr"], "payload", "attributes", "id", "feed_nr", "file_nr", exact_numbers=True)
 
 
 def _profile(spark: SparkSession, sf: str) -> Profile:

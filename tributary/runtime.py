@@ -62,10 +62,15 @@ def materialise(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+#: Bytes of rows, written as JSON, up to which a table may be broadcast.
+MAX_BYTES = 128 << 20
 
-    The count stops at ``max_rows + 1``; beyond it Spark is left to shuffle.
+
+def broadcast_within(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    Measuring stops at ``max_rows + 1`` rows; beyond either bound Spark is left to shuffle.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    seen = df.limit(max_rows + 1).select(F.octet_length(F.to_json(row)).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes else df
