@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tributary.llm import queries
-from tributary.llm.encodings import CHAINS, LOST, Model, find_garbled, garble, restore, train
-from tributary.llm.leakage import drop_leaking, find_leaks, remove_shared, remove_spans
+from tributary.llm.encodings import CHAINS, LOST, Model, _first_alike, find_garbled, garble, restore, train
+from tributary.llm.leakage import drop_leaking, find_leaks, letters_of, normalise, remove_shared, remove_spans
 from tributary.llm.packing import best_fit_decreasing, count_tokens, encoder, pack, TOKENIZER
 from tributary.llm.topn import top_n
 
@@ -52,6 +52,14 @@ def test_top_n_edges(spark):
         top_n(df, "g", [("score", True)], ["tie"], 0)
 
 
+def test_copies_of_a_heavy_group_spread_and_count_once(spark):
+    rows = [(1, 9, 9, "b" if i % 2 else None) for i in range(2000)] + [(1, i % 8, i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, score int, tie int, v0 string").repartition(8)
+    for heavy in (100, 10**9):
+        out = top_n(df, "g", [("score", True)], ["tie"], 3, heavy_rows=heavy, salts=16)
+        assert sorted(map(tuple, out.collect())) == [(1, 7, 7, "x"), (1, 7, 15, "x"), (1, 9, 9, "b")]
+
+
 def test_heavy_groups_are_range_partitioned(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("score"))
     plan = top_n(df, "g", [("score", True)], [], 2, heavy_rows=10)._jdf.queryExecution().executedPlan().toString()
@@ -111,6 +119,14 @@ def test_packing_is_whole(spark, shard_items):
         assert len(loads) <= 1.03 * -(-sum(n or 0 for n in sizes) // 100)
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    sizes = spark.range(3000).select(F.when(F.col("id") < 1000, 5).otherwise(F.col("id")).alias("item"), (F.when(F.col("id") < 1000, 40).otherwise(F.col("id") % 97)).alias("n"))
+    runs = [sorted(map(tuple, pack(sizes.repartition(k), "item", "n", 100, shard_items=500).collect())) for k in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3000
+    per_shard = Counter(r[4].split("-")[0] for r in runs[0])
+    assert max(per_shard.values()) < 1000  # a third of the rows are copies, and still no shard has twice its share
+
+
 def test_packing_edges(spark):
     assert packed(spark, [], 10) == []
     assert {(r.piece, r.n_tokens) for r in packed(spark, [30], 10)} == {(0, 10), (1, 10), (2, 10)}
@@ -182,6 +198,28 @@ def test_removed_spans_leave_the_rest():
     assert remove_shared("nothing here", [item], 60) == ("nothing here", 0)
 
 
+def test_search_and_removal_compare_the_same_letters(spark):
+    rng = random.Random(6)
+    plain = "".join(rng.choice("abcdefgh") for _ in range(90))
+    marks = ["²", "½", "Ⅷ", "İ", "ΑΣ", "Σ ", "ß", "ǅ", "\u0307", "٣", "_", "①", "𝒳"]
+    items = [(k, f"{plain[:30]}{m}{plain[30:]}") for k, m in enumerate(marks)]
+    docs = [(k, f"Before: {u[:50]} {u[50:].upper()} :after") for k, (_, u) in enumerate(items)] + [(100 + k, f"<< {plain} >>") for k in range(2)]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    flat_of = {r.t: r.n for r in d.select("text").union(it.select("item_text")).toDF("t").select("t", normalise(F.col("t")).alias("n")).collect()}
+    assert all(letters_of(t)[0] == n for t, n in flat_of.items())
+    leaks = find_leaks(d, "doc_id", "text", it, "item_id", "item_text")
+    cleaned = {r.doc_id: (r.cleaned, r.removed) for r in remove_spans(d, "doc_id", "text", leaks, it, "item_id", "item_text").collect()}
+    assert cleaned[0] == ("Before:  :after", 92) and all(cleaned[k][0] == "Before:  :after" for k in range(len(marks)))
+    assert cleaned[100] == ("<<  >>", 90)
+
+
+def test_repeated_grams_multiply_nothing(spark):
+    items = [(k, "ab" * 400) for k in range(20)]
+    docs = [(k, "ab" * 5000) for k in range(5)] + [(9, "ab" * 29)]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    assert find_leaks(d, "doc_id", "text", it, "item_id", "item_text").count() == 100
+
+
 def test_leaks_on_the_tables(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/eval_items.parquet").select("item_id", "item_text").collect()]
@@ -252,6 +290,42 @@ def test_garbled_edges(spark, corpus):
     assert Model.from_state(model.state()).text("GrÃ¶ÃŸe") is not None
 
 
+def test_lost_characters_are_told_apart_from_chains(spark, corpus):
+    model = train(spark.createDataFrame([(t,) for t in corpus], "text string"), "text")
+    rows = spark.createDataFrame([(1, "Gr\ufffd\ufffde"), (2, "GrÃ¶ÃŸe fÃ¤llt"), (3, "Gr\ufffd\ufffde fÃ¤llt über")], "doc_id long, text string")
+    got = {r.doc_id: (r.chains, r.lost, r.restored) for r in find_garbled(rows, "doc_id", "text", model).collect()}
+    assert got == {1: ([], True, "Gr\ufffd\ufffde"), 2: (["utf_8>cp1252"], False, "Größe fällt"), 3: (["utf_8>cp1252"], True, "Gr\ufffd\ufffde fällt über")}
+
+
+def test_chains_that_agree_have_one_name():
+    words = {(garble(w, "iso8859_2>latin_1"), w) for w in ("příliš", "žluťoučký")}
+    assert all(restore(bad, "iso8859_2>cp1252") == w for bad, w in words)
+    assert _first_alike("iso8859_2>latin_1", words) == "iso8859_2>cp1252" and _first_alike(LOST, set()) == LOST
+
+
+@pytest.fixture(scope="module")
+def held_out(spark):
+    """A model of one half of the posts, and clean posts of the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = train(docs.where("doc_id % 2 = 0"), "text")
+    return model, [r.text for r in docs.where("doc_id % 2 = 1").collect() if model.text(r.text) is None and not r.text.isascii()]
+
+
+@pytest.mark.parametrize("chain", ["utf_8>cp1252", "utf_8>latin_1", "utf_8>cp1252 twice", "utf_8>mac_roman", "utf_8>cp437"])
+def test_restoration_is_exact_on_held_out_posts(held_out, chain):
+    model, clean = held_out
+    tried = right = 0
+    for text in clean:
+        words = re.split("([ \\t\\n\\r]+)", re.sub("`[^`]*`", "", text))
+        bad = "".join(w if w.isascii() else garble(w, chain) or w for w in words)
+        if bad == "".join(words):
+            continue
+        found = model.text(bad)
+        tried += 1
+        right += found is not None and found[1] == "".join(words)
+    assert tried > 50 and right >= 0.9 * tried
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = train(docs.where("doc_id % 2 = 0"), "text")

@@ -2,19 +2,24 @@
 
 Text is lower-cased and reduced to letters and digits. A document and an item share ``run`` consecutive
 characters only if one of the item's grams of half that length (or less) starts at a document position that is a
-multiple of ``stride = run - gram + 1``. So the item grams at all positions form a hash set, which is
-broadcast after a count of its rows, the document is cut into tiles of ``stride`` characters, and each tile
-is one lookup. A hit is verified within the tiles around it, character by character. Nothing is missed.
+multiple of ``stride = run - gram + 1``. So the distinct item grams of all positions form a hash set, which is
+broadcast after its size is measured, the document is cut into tiles of ``stride`` characters, and each tile
+is one lookup. Only around a hit are the windows of ``run`` characters formed, and these are compared with the distinct
+windows of the items, character by character. Nothing is missed, and a gram that an item repeats, or many items
+share, multiplies nothing.
 
 Defined results
 * NULL and empty texts, and texts shorter than ``run`` after normalising, match nothing.
 * Repeated rows give each pair once. Empty tables give empty results. Texts are scanned whole.
-* Should the item grams exceed ``max_grams``, the join is left to shuffle; the result is the same.
+* Should the item grams exceed ``max_grams``, or the items' windows the bytes that may be broadcast, the joins are left to
+  shuffle; the result is the same.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,11 +28,12 @@ from pyspark.sql import functions as F
 from tributary.runtime import broadcast_within
 
 RUN, GRAM = 60, 30
-#: Item grams (of 16 bytes) up to which they may be broadcast.
+#: Distinct item grams (of 8 bytes), and windows, up to which they may be broadcast.
 MAX_GRAMS = 4_000_000
 
 
 def normalise(text: Column) -> Column:
+    """What is compared; ``letters_of`` does the same in Python."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "")
 
 
@@ -36,10 +42,10 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     stride = run - gram + 1
     if not 1 <= gram <= stride or doc_id == item_id:
         raise ValueError("a gram has at most half the run's characters, and doc_id and item_id differ")
-    whole = items.select(F.col(item_id).alias("__item"), normalise(F.col(item_text)).alias("__t")).where(F.length("__t") >= run).distinct()
-    starts = whole.select("__item", "__t", F.explode(F.sequence(F.lit(1), F.length("__t") - gram + 1)).alias("__at"))
-    grams = starts.select(F.xxhash64(F.col("__t").substr(F.col("__at"), F.lit(gram))).alias("__h"), "__item", "__at")
-    grams = broadcast_within(grams, max_grams)
+    whole = items.select(F.col(item_id).alias("__item"), normalise(F.col(item_text)).alias("__t")).where(F.length("__t") >= run)
+    starts = lambda n: whole.select("__item", F.explode(F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), lambda at: F.col("__t").substr(at, F.lit(n)))).alias("__g"))
+    grams = broadcast_within(starts(gram).select(F.xxhash64("__g").alias("__h")).distinct(), max_grams)
+    shared = broadcast_within(starts(run).distinct(), max_grams)
     tiles = docs.select(F.col(doc_id).alias("__doc"), F.regexp_extract_all(normalise(F.col(text)), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("__tiles"))
     tiles = tiles.where(F.size("__tiles") > 1)
     around = F.transform("__tiles", lambda tile, i: F.struct(
@@ -48,16 +54,12 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     ))
     windows = tiles.select("__doc", F.explode(F.filter(around, lambda w: F.length(w["tile"]) >= gram)).alias("w"))
     windows = windows.withColumn("__h", F.xxhash64(F.substring(F.col("w.tile"), 1, gram)))
-    hits = windows.join(grams, "__h").join(broadcast_within(whole, max_grams // 100), "__item")
-    context = F.concat("w.before", "w.tile", "w.after")
-    offset = F.length("w.before")  # characters of context before the gram
-    # the run begins k characters before the gram, in document and item alike
-    begins = F.sequence(F.lit(0), F.least(F.lit(run - gram), offset, F.col("__at") - 1).cast("int"))
-    equal = F.exists(begins, lambda k: (
-        (F.length(context) - offset + k >= run) & (F.length("__t") - F.col("__at") + 1 + k >= run)
-        & (context.substr(offset - k + 1, F.lit(run)) == F.col("__t").substr(F.col("__at") - k, F.lit(run)))
-    ))
-    return hits.where(equal).select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id)).distinct()
+    hits = windows.join(grams, "__h", "left_semi")
+    # the run begins k characters before the gram
+    context, offset = F.concat("w.before", "w.tile", "w.after"), F.length("w.before")
+    runs = F.transform(F.sequence(F.lit(0), F.least(F.lit(run - gram), offset)), lambda k: context.substr(offset - k + 1, F.lit(run)))
+    found = hits.select("__doc", F.explode(runs).alias("__g")).where(F.length("__g") == run).join(shared, "__g")
+    return found.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id)).distinct()
 
 
 def drop_leaking(docs: DataFrame, doc_id: str, leaks: DataFrame) -> DataFrame:
@@ -82,30 +84,39 @@ def remove_spans(docs: DataFrame, doc_id: str, text: str, leaks: DataFrame, item
     return hit.mapInArrow(cut, "id long, cleaned string, removed long").withColumnRenamed("id", doc_id)
 
 
+@lru_cache(maxsize=1 << 16)
+def _counts(c: str) -> bool:
+    kind = unicodedata.category(c)
+    return kind[0] == "L" or kind == "Nd"
+
+
+def letters_of(text: str) -> tuple[str, list[int]]:
+    """Normalised text, and for each of its characters the place in ``text`` that it comes from."""
+    lower = text.lower()
+    if len(lower) == len(text):
+        kept = [i for i, c in enumerate(lower) if _counts(c)]
+        return "".join([lower[i] for i in kept]), kept
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    kept = [k for k, c in enumerate(lower) if _counts(c)]
+    return "".join([lower[k] for k in kept]), [origin[k] for k in kept]
+
+
 def remove_shared(text: str, items: list[str], run: int) -> tuple[str, int]:
     """``text`` without every stretch of which ``run`` or more normalised characters occur in an item."""
-    places, letters = [], []
-    for i, c in enumerate(text):
-        for x in c.lower():
-            if x.isalnum():
-                places.append(i)
-                letters.append(x)
-    flat, bad = "".join(letters), bytearray(len(letters))
+    flat, places = letters_of(text)
+    grams: set[str] = set()
     for item in items:
-        other = "".join(x for c in item for x in c.lower() if x.isalnum())
-        grams = {other[i : i + run] for i in range(len(other) - run + 1)}
-        for i in range(len(flat) - run + 1):
-            if flat[i : i + run] in grams:
-                bad[i : i + run] = b"\1" * run
-    out, at, removed, i = [], 0, 0, 0
-    while i < len(bad):
-        if not bad[i]:
-            i += 1
-            continue
-        j = i
-        while j + 1 < len(bad) and bad[j + 1]:
-            j += 1
-        out.append(text[at : places[i]])
-        removed += places[j] + 1 - places[i]
-        at, i = places[j] + 1, j + 1
+        other = letters_of(item)[0]
+        grams.update(other[i : i + run] for i in range(len(other) - run + 1))
+    out, at, removed, reach = [], 0, 0, -1
+    begin = None
+    for i in range(len(flat) - run + 1):
+        if flat[i : i + run] in grams:
+            if begin is not None and i > reach:
+                out.append(text[at : places[begin]])
+                at, removed, begin = places[reach - 1] + 1, removed + places[reach - 1] + 1 - places[begin], None
+            begin, reach = i if begin is None else begin, i + run
+    if begin is not None:
+        out.append(text[at : places[begin]])
+        at, removed = places[reach - 1] + 1, removed + places[reach - 1] + 1 - places[begin]
     return "".join([*out, text[at:]]), removed

@@ -4,13 +4,15 @@ Tokens are counted with a public tokenizer. Items are dealt by a hash into shard
 each packed by itself: items by falling size, each into the open container with the least space that still
 fits, found in logarithmic time by a segment tree over remaining capacities (0 to capacity). A shard leaves
 only its last few containers open, so little is lost against one global packing, and no task holds more than
-a shard's sizes. Texts never travel with the sizes.
+a shard's sizes. Texts never travel with the sizes, and copies of an item travel as one row with their number, in blocks
+of ``BLOCK``, so that they spread over the shards.
 
 Defined results
 * An item longer than the capacity fills containers of its own and leaves one remainder, which is packed like
   an item. No other item is split. ``piece`` numbers the pieces, ``from_token`` and ``n_tokens`` locate them.
 * NULL and empty texts have no tokens; they are placed like any item and take no space.
-* Repeated rows are items of their own. Ties in size are taken by id, so the same files give the same result.
+* Repeated rows are items of their own. Shards follow from ids, sizes and numbers of copies alone, and ties in size are taken
+  by id, so the same rows give the same result, however they are partitioned.
 * Lone surrogates are counted as the replacement character.
 """
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_ITEMS = 50_000
+#: Copies of one item that go to a shard together.
+BLOCK = 100
 #: Fixed pattern of the byte-level tokenizer's first split.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -107,13 +111,16 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int, shard_items: int
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    shards = max(1, -(-sizes.count() // shard_items))
     source = sizes.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("n"))
-    # the row's place spreads repeated rows, too, so that no shard grows beyond its share
-    source = source.withColumn("shard", F.pmod(F.xxhash64("item", "n", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+    counted = source.groupBy("item", "n").agg(F.count("*").alias("copies"))
+    shards = max(1, -(-sizes.count() // shard_items))
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {BLOCK}"))
+    dealt = counted.select("item", "n", "copies", F.explode(blocks).alias("block"))
+    dealt = dealt.select("item", "n", F.least(F.col("copies") - F.col("block") * BLOCK, F.lit(BLOCK)).alias("copies"), F.pmod(F.xxhash64("item", "n", "block"), F.lit(shards)).cast("long").alias("shard"))
 
     def fill(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["item"].to_pylist(), table["n"].to_pylist()), key=lambda r: (r[0] is None, r[0]))
+        rows = zip(table["item"].to_pylist(), table["n"].to_pylist(), table["copies"].to_pylist())
+        rows = sorted(((i, n) for i, n, copies in rows for _ in range(copies)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         shard = table["shard"][0].as_py()
         whole, parts = [], []
         for name, n in rows:
@@ -128,5 +135,5 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int, shard_items: int
         names = ("item", "piece", "from_token", "n_tokens", "container")
         return pa.table({m: pa.array([r[i] for r in out], k) for i, (m, k) in enumerate(zip(names, kinds))})
 
-    packed = source.groupBy("shard").applyInArrow(fill, "item long, piece int, from_token long, n_tokens long, container string")
+    packed = dealt.groupBy("shard").applyInArrow(fill, "item long, piece int, from_token long, n_tokens long, container string")
     return packed.withColumnRenamed("item", item)

@@ -12,10 +12,18 @@ from tributary.llm.topn import top_n
 from tributary.runtime import materialise, read_table
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+def _newest(spark: SparkSession, sf: str, heavy_rows: int) -> DataFrame:
     rows = read_table(spark, sf, "test_newest_by_group").select("id", "idx", "updated_at", "deleted_at")
-    best = top_n(rows, "id", [("updated_at", True), ("deleted_at", True)], ["idx"], 3, heavy_rows=100_000)
-    return best.select("id", "idx")
+    return top_n(rows, "id", [("updated_at", True), ("deleted_at", True)], ["idx"], 3, heavy_rows=heavy_rows).select("id", "idx")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _newest(spark, sf, 100_000)
+
+
+def p7_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the heavy branch for every group of more than 100 rows, so that it runs at any scale."""
+    return _newest(spark, sf, 100)
 
 
 def _packed(spark: SparkSession, sf: str, capacity: int) -> DataFrame:
@@ -31,6 +39,28 @@ def p8_pack_4096(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf, 4096)
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every packing, for both capacities: ``tight`` if at most 1 % more containers than the tokens need (and one a shard)."""
+    sizes = materialise(count_tokens(read_table(spark, sf, "documents"), "doc_id", "text"), "tokens").withColumnRenamed("item", "doc_id")
+    per_post = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("all_tokens"), F.count("*").alias("copies"))
+    out = None
+    for capacity in (1024, 4096):
+        placed = pack(sizes, "doc_id", "n_tokens", capacity)
+        posts = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(per_post, "doc_id", "full")
+        least = F.coalesce("copies", F.lit(0)) + F.floor(F.coalesce("all_tokens", F.lit(0)) / capacity)  # pieces beyond it would be splits without need
+        kept = posts.agg(
+            F.count("*").alias("posts"), F.sum((~F.col("n").eqNullSafe(F.col("all_tokens"))).cast("int")).alias("incomplete"),
+            F.sum((F.col("pieces") > least).cast("int")).alias("split"),
+        )
+        bins = placed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(
+            F.sum((F.col("used") > capacity).cast("int")).alias("overfull"), (F.count("*") <= F.ceil(F.sum("used") / capacity) * 1.01 + 1 + sizes.count() // 50_000).alias("tight")
+        )
+        one = kept.withColumn("k", F.lit(1)).join(bins.withColumn("k", F.lit(1)), "k")  # a row each
+        one = one.select(F.lit(capacity).alias("capacity"), "posts", "incomplete", "split", "overfull", "tight")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")
     return find_leaks(docs, "doc_id", "text", items, "item_id", "item_text")
@@ -51,4 +81,4 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("chains", ", ").alias("chains"), "restored", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_pack_1024, p8_pack_4096, p9_found, p9_cleaned, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_split, p8_pack_1024, p8_pack_4096, p8_invariants, p9_found, p9_cleaned, p10_found, p10_restored)}

@@ -1,9 +1,11 @@
 """Top N items within every group, by a hot-cold split.
 
-Groups are counted exactly. Those above ``heavy_rows`` (and above one ``heavy_share``-th of all rows, so that
-they are provably at most ``heavy_share`` many and may be broadcast) are heavy: their rows are spread over
-salts, range partitioned by group and salt, and cut to the best N of each salt by sorted windows, after which
-at most N times the number of salts remain per group. Light groups go to an ordinary window. Both are united.
+Groups are counted exactly. The ``heavy_share`` largest of those above ``heavy_rows`` are heavy (any other group is
+smaller than a ``heavy_share``-th of all rows or than ``heavy_rows``, so no group left to one window is hot): their rows
+are spread over salts by position, so that copies spread, too, range partitioned by group and salt, and cut to the best N
+of each salt by sorted windows. Copies among what remains are reduced map-side, after which at most N rows per salt
+meet in a group's last window. Light groups go to an ordinary window. Both are united. The table is read once to
+count, once for the light groups and twice (sampling its ranges) for the heavy ones.
 
 Defined results
 * Order columns are taken as given, with NULLs last in either direction; further ties are broken by
@@ -38,6 +40,15 @@ def _best(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str)
     return ranked.where(F.col(rank) <= n).drop(rank)
 
 
+def _one_of_copies(df: DataFrame, same: list[str], rank: str) -> DataFrame:
+    """One row of those that agree in ``same``, the least by the other columns. Rows that are together by one of ``same`` stay where they are."""
+    rest = [c for c in df.columns if c not in same]
+    if not rest:
+        return df.distinct().select(*[F.col(f"`{c}`") for c in df.columns])
+    first = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in same]).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in rest]))
+    return df.withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
+
+
 def top_n(
     df: DataFrame, group: str, order_by: list[tuple[str, bool]], tie_break: list[str], n: int,
     heavy_rows: int = 1_000_000, heavy_share: int = 10_000, salts: int = SALTS,
@@ -47,27 +58,22 @@ def top_n(
         raise ValueError("n must be at least 1")
     key, salt, rank = _fresh(df, "__heavy"), _fresh(df, "__salt"), _fresh(df, "__rank")
     order = _order(order_by, tie_break)
+    same = list(dict.fromkeys([group, *(c for c, _ in order_by), *tie_break]))
     counts = df.groupBy(F.col(f"`{group}`").alias(key)).agg(F.count("*").alias("rows"))
-    total = df.count()
-    heavy = counts.where(F.col("rows") > max(heavy_rows, total // heavy_share)).select(key)
-    named = heavy.collect()  # fewer than heavy_share values, by the threshold above
+    named = [r[0] for r in counts.where(F.col("rows") > heavy_rows).orderBy(F.col("rows").desc(), key).limit(heavy_share).collect()]
     if not named:
-        light, hot = df, None
+        return _one_of_copies(_best(df, [group], order, n, rank), same, rank)
+    values = [v for v in named if v is not None]
+    is_heavy = F.coalesce(F.col(f"`{group}`").isin(values) if values else F.lit(False), F.lit(len(values) < len(named)))
+    light = _one_of_copies(_best(df.where(~is_heavy), [group], order, n, rank), same, rank)
+    salted = df.where(is_heavy).withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    ranged = salted.repartitionByRange(F.col(f"`{group}`"), F.col(salt))
+    finalists = _best(ranged, [group, salt], order, n, rank).drop(salt)
+    columns, rest = [F.col(f"`{c}`") for c in df.columns], [c for c in df.columns if c not in same]
+    if rest:  # an aggregation, as windows have no map side
+        least = F.min(F.struct(*[x for i, c in enumerate(rest) for x in (F.col(f"`{c}`").isNull().alias(f"n{i}"), F.col(f"`{c}`").alias(f"v{i}"))])).alias(key)
+        finalists = finalists.groupBy(*[F.col(f"`{c}`") for c in same]).agg(least)
+        finalists = finalists.select(*[F.col(key)[f"v{rest.index(c)}"].alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
     else:
-        values = [r[0] for r in named if r[0] is not None]
-        is_heavy = F.col(f"`{group}`").isin(values) if values else F.lit(False)
-        is_heavy = F.coalesce(is_heavy, F.lit(any(r[0] is None for r in named)))
-        light, hot = df.where(~is_heavy), df.where(is_heavy)
-    best = _best(light, [group], order, n, rank)
-    if hot is not None:
-        spread = [F.col(f"`{c}`") for c in dict.fromkeys([*(c for c, _ in order_by), *tie_break])]
-        salted = hot.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        ranged = salted.repartitionByRange(F.col(f"`{group}`"), F.col(salt))
-        finalists = _best(ranged, [group, salt], order, n, rank).drop(salt)
-        best = best.unionByName(_best(finalists, [group], order, n, rank))
-    same = list(dict.fromkeys([group, *(c for c, _ in order_by), *tie_break]))
-    rest = [c for c in df.columns if c not in same]
-    if not rest:
-        return best.distinct().select(*[F.col(f"`{c}`") for c in df.columns])
-    one = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in same]).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in rest]))
-    return best.withColumn(rank, one).where(F.col(rank) == 1).drop(rank)
+        finalists = finalists.distinct()
+    return light.unionByName(_best(finalists, [group], order, n, rank).select(*columns))
