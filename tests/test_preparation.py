@@ -14,7 +14,7 @@ from tributary import preparation_queries as queries
 from tributary.operators import drift
 from tributary.operators.drift import file_unions, rename_groups, schema_changes, unify
 from tributary.operators.instants import InstantDictionary, normalise, parse_instants
-from tributary.operators.intervals import IntervalStore, merge_table, not_covered, present_ranges, unread_changes
+from tributary.operators.intervals import IntervalStore, merge_table, newest_cover, not_covered, present_ranges, unread_changes
 from tributary.operators.nested import flatten_records
 from tributary.operators.packed import infer_delimiters, split_packed
 from tributary.operators.profile import ColumnRule, Profile
@@ -337,6 +337,33 @@ def test_unread_changes(spark):
     assert unread_changes(rows.limit(0), ["id", "at"], "dt", "at", log, "dt", "lo", "hi").count() == 0
 
 
+def test_newest_cover(spark):
+    rng = random.Random(3)
+    rows = [(lo := rng.randint(-60, 60) * 40_000, lo + rng.choice([-1, 0, 1, 90_000, 3_000_000]), rng.randint(1, 9)) for _ in range(60)] + [(None, 5, 1), (1, None, 1), (1, 5, None)]
+    got = sorted(map(tuple, newest_cover(spark.createDataFrame(rows, "lo long, hi long, upto int")).collect()))
+    assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
+    for at in {x + d for lo, hi, _ in rows for x in (lo, hi) if x is not None for d in (-1, 0, 1)}:
+        want = max((u for lo, hi, u in rows if None not in (lo, hi, u) and lo <= at <= hi), default=None)
+        assert next((u for lo, hi, u in got if lo <= at <= hi), None) == want
+    assert newest_cover(spark.createDataFrame([], "lo long, hi long, upto int")).count() == 0
+
+
+def test_store_takes_over_a_log_and_commits_what_it_reads(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, 1), (2, 11, 1), (3, 30, 2), (4, 10, 3), (5, None, 3), (6, 12, None)], "id int, at long, dt int")
+    store = IntervalStore(spark, str(tmp_path / "s"))
+    store.adopt(spark.createDataFrame([(5, 10, 2), (30, 30, 1), (9, 4, 9)], "lo long, hi long, upto int"))
+    assert store.read() is None and store.process_changes(rows, ["id", "at"], "dt", "at")
+    assert {r.id for r in store.read().collect()} == {2, 3, 4, 6}
+    assert sorted(map(tuple, store.covered().collect())) == [(5, 9, 2), (10, 30, 3)] and [tuple(r) for r in store.intervals().collect()] == [(5, 30)]
+    late = rows.union(spark.createDataFrame([(7, 11, 3), (8, 11, 4), (9, 31, 1)], rows.schema))
+    assert store.process_changes(late, ["id", "at"], "dt", "at")
+    assert sorted(r.id for r in store.read().collect()) == [2, 3, 4, 6, 6, 8, 9]  # a NULL load is seen by no run
+    store.compact()
+    assert store.read().count() == 7 and len(store._latest()[1]["runs"]) == 1
+    (tmp_path / "s/commits/000000000099.json").write_text("")  # a writer that died
+    assert store.read().count() == 7 and store.process_changes(late.limit(0), ["id", "at"], "dt", "at") and store._latest()[0] == 100
+
+
 @pytest.mark.parametrize("limit", [200_000, 1])
 def test_unread_changes_by_broadcast_or_buckets(spark, monkeypatch, limit):
     monkeypatch.setattr("tributary.operators.intervals.BROADCAST_GAPS", limit)
@@ -513,6 +540,19 @@ def test_hot_texts(spark):
     assert out.count() == 900 and out.where("epoch_us is not null").count() == 300
 
 
+def test_texts_that_grow_hot_later(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame([(x, "UTC", "dmy", i) for i, x in enumerate(v)], "raw string, zone string, day_order string, i int")
+    store = InstantDictionary(spark, str(tmp_path / "d"))
+    store.add(rows("2023-07-01 10:00:00", "junk"))
+    later = rows(*["2023-07-01 10:00:00"] * 500, *[f"2023-07-01 11:{i // 60:02d}:{i % 60:02d}" for i in range(500)], "junk")
+    entries = {r.raw: r.n for r in store.add(later).collect()}
+    assert entries["2023-07-01 10:00:00"] == 500 and entries["junk"] == 1 and len(entries) == 502 and store.read().count() == 502
+    out = normalise(later, store, hot_share=10)
+    assert out.count() == 1001 and out.where("epoch_us is not null").count() == 1000
+    hot = [n for n in normalise(later, store, hot_share=10)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "hot" in n]
+    assert hot
+
+
 def test_instants_on_the_tables(spark, small):
     zones = {r.src: (r.tz_name, r.day_order) for r in spark.read.parquet(f"{small}/source_zones.parquet").collect()}
     got = {tuple(r)[1:] for r in queries.p6_found(spark, small).where("table_name = 'status_records'").collect()}

@@ -94,7 +94,11 @@ class _Number(float):
 
 def _number(token: str) -> _Number:
     value = _Number(token)
-    exact = Decimal(token)
+    try:
+        exact = Decimal(token)
+    except ArithmeticError:  # a power beyond all bounds
+        value.text = token
+        return value
     plain = f"{exact:f}" if abs(exact.adjusted()) <= PLAIN_DIGITS else str(exact)
     if "." in plain and "E" not in plain:
         plain = plain.rstrip("0").rstrip(".")
@@ -171,13 +175,13 @@ def _key(text: str, at: int, blank) -> tuple[str, int]:
     return key, blank(at + 1)
 
 
-def _document(payload: str | None):
-    """The object in a line, numbers exact; NULL if the line is no JSON object."""
+def _document(payload: str | None, exact: bool = True):
+    """The object in a line; NULL if the line is no JSON object. Without ``exact``, for types only, numbers are rounded."""
     if payload is None:
         return None
     try:
         try:
-            record = json.loads(payload, parse_constant=_no_number, parse_float=_number)
+            record = json.loads(payload, parse_constant=_no_number, parse_float=_number if exact else None)
         except RecursionError:
             record = _deep(payload)
         except json.JSONDecodeError:
@@ -226,7 +230,7 @@ def file_unions(df: DataFrame, feed: str, file: str, payload: str, root: str) ->
         for batch in batches:
             for fd, fl, text in zip(*(c.to_pylist() for c in batch.columns)):
                 out = seen.setdefault((fd, fl), {})
-                record = _document(text)
+                record = _document(text, exact=False)
                 if record is not None and isinstance(record.get(root), (dict, list)):
                     long += _walk(record[root], root, out)
                     if long > GATHERED:

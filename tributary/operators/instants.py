@@ -2,7 +2,8 @@
 
 Raw texts are deduplicated together with what their meaning depends on (the zone of their source and its
 order of day and month) into a dictionary. Each entry is parsed exhaustively once; entries are appended to a
-stored dictionary, so that later runs parse only texts never seen before; instants are joined back to rows.
+stored dictionary, so that later runs parse only texts never seen before; instants are joined back to rows. Columns
+of whole numbers hold no texts: ``integer_to_us`` answers them in place.
 
 Defined results
 * Numbers are seconds, milli-, micro- or nanoseconds, whichever puts them into the years 2001 to 2100;
@@ -21,7 +22,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.runtime import shared_dir
+from tributary.runtime import broadcast_within, materialise, shared_dir
 
 #: First second of 2001 and of 2101.
 FIRST_SECOND, END_SECOND = 978_307_200, 4_133_980_800
@@ -134,7 +135,10 @@ def _at_zone(wall_us: Column, zone: Column) -> Column:
 
 
 class InstantDictionary:
-    """A stored dictionary of parsed texts: ``raw, zone, day_order, n, epoch_us``, one folder per batch."""
+    """A stored dictionary of parsed texts: ``raw, zone, day_order, n, epoch_us``, one folder per batch.
+
+    ``n`` is how often the batch that brought a text held it; it says nothing of later batches.
+    """
 
     COLUMNS = ("raw", "zone", "day_order")
 
@@ -158,36 +162,42 @@ class InstantDictionary:
         names = self._batches()
         return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]) if names else None
 
+    def _on(self, left: DataFrame, right: DataFrame) -> list[Column]:
+        return [left[c].eqNullSafe(right[c]) for c in self.COLUMNS]
+
     def add(self, values: DataFrame) -> DataFrame:
-        """Parse the texts of ``values`` (``raw, zone, day_order``) that are new, store them, return all."""
-        fresh = values.where(F.col("raw").isNotNull()).groupBy(*self.COLUMNS).agg(F.count("*").alias("n"))
+        """Parse the texts of ``values`` (``raw, zone, day_order``) that are new, store them, and return the entries of
+        all texts of ``values``, with ``n`` their number in ``values``."""
+        counts = values.where(F.col("raw").isNotNull()).groupBy(*self.COLUMNS).agg(F.count("*").alias("n"))
+        known = self.read()
+        if known is None:
+            batch = f"{self.path}/batch-{self._next:06d}"
+            parse_instants(counts).write.parquet(batch)
+            return self.spark.read.parquet(batch)
+        counts = materialise(counts, "texts")
+        parse_instants(counts.join(known, self._on(counts, known), "left_anti")).write.parquet(f"{self.path}/batch-{self._next:06d}")
         known = self.read()
-        if known is not None:
-            same = [fresh[c].eqNullSafe(known[c]) for c in self.COLUMNS]
-            fresh = fresh.join(known, same, "left_anti")
-        parse_instants(fresh).write.parquet(f"{self.path}/batch-{self._next:06d}")
-        return self.read()
+        return counts.join(known, self._on(counts, known)).select(*[counts[c] for c in self.COLUMNS], counts["n"], known["epoch_us"])
 
 
 def normalise(rows: DataFrame, dictionary: InstantDictionary, hot_share: int = 1000) -> DataFrame:
     """``rows`` (with ``raw, zone, day_order``) plus ``epoch_us``, which replaces a column of that name.
 
-    Texts that make up more than one ``hot_share``-th of the rows are at most ``hot_share`` many, so these are
-    broadcast; the other rows meet the dictionary in a shuffled join in which no key can be hot. Rows already
-    answered are spread over the partitions of that join by a hash of their own.
+    Texts that make up more than one ``hot_share``-th of these rows, whatever earlier batches held, are at most ``hot_share``
+    many, so these are broadcast; the other rows meet the dictionary in a shuffled join in which no key can be hot. Rows
+    already answered are spread over the partitions of that join by a hash of their own.
     """
     keys = list(InstantDictionary.COLUMNS)
     entries = dictionary.add(rows.select(*keys))
     pack = lambda: F.concat_ws("\x1f", *[F.coalesce(F.col(k), F.lit("\x1e")) for k in keys])
     entries = entries.select(pack().alias("key"), "n", "epoch_us")
-    total = entries.agg(F.sum("n")).first()[0] or 0
-    floor = max(1, total // hot_share)
-    hot = entries.where(F.col("n") > floor).select(F.col("key").alias("hot"), F.col("epoch_us").alias("hot_us"))
+    floor = max(1, (entries.agg(F.sum("n")).first()[0] or 0) // hot_share)
+    hot = broadcast_within(entries.where(F.col("n") > floor).select(F.col("key").alias("hot"), F.col("epoch_us").alias("hot_us")), hot_share)
     cold = entries.where(F.col("n") <= floor).select(F.col("key").alias("cold"), F.col("epoch_us").alias("cold_us"))
     kept = [c for c in rows.columns if c.lower() != "epoch_us"]
     marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.when(F.col("raw").isNotNull(), pack()).alias("key"))
-    marked = marked.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
-    own = F.concat(F.lit("\x1d"), F.xxhash64("row").cast("string"))
+    marked = marked.join(hot, F.col("key") == F.col("hot"), "left")
+    own = F.concat(F.lit("\x1d"), F.xxhash64("row", F.monotonically_increasing_id()).cast("string"))
     marked = marked.withColumn("key", F.when(F.col("hot").isNotNull() | F.col("key").isNull(), own).otherwise(F.col("key")))
     joined = marked.join(cold, F.col("key") == F.col("cold"), "left")
     us = F.when(F.col("hot").isNotNull(), F.col("hot_us")).otherwise(F.col("cold_us"))

@@ -1,30 +1,31 @@
 """Processing only new or changed records, with processed ranges kept as disjoint intervals.
 
-State is a set of closed integer intervals of sequence numbers that successful runs have read. A run
-subtracts them from the available range, reads the gaps (late commits fall into gaps, too), and publishes
-the merged intervals together with its output in one atomic step.
+State is a set of closed, disjoint intervals of sequence numbers that successful runs have read, each with the newest
+load that a run over it has seen (``upto``). A run subtracts them from the available range, reads the gaps (late commits
+fall into gaps, too), and publishes the merged intervals together with its output in one atomic step. A number of a load
+lies in a gap if no interval that reaches this load holds it, so one set of intervals serves all loads.
 
 Defined results
 * A record without a usable sequence number (NULL) is never due.
 * Empty logs leave everything due; empty tables give empty results.
-* Bounds that are NULL, unreadable or reversed read nothing.
+* Bounds that are NULL, unreadable or reversed read nothing. Rows of a NULL load were seen by no run.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.runtime import materialise
+from tributary.runtime import broadcast_within, materialise, shared_dir
 
-#: Gap rows up to which the join may broadcast; beyond it gaps are joined by buckets.
-BROADCAST_GAPS = 200_000
-#: Loads in one table, each with its own set of intervals.
-MAX_LOADS = 20_000
+#: Pieces of intervals up to which their join with the rows may broadcast; beyond it the rows shuffle by bucket.
+BROADCAST_GAPS = 1_000_000
 
 
 def merged_by(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -37,70 +38,85 @@ def merged_by(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     return numbered.groupBy(*keys, "__part").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__part")
 
 
-def gaps_by(processed: DataFrame, available: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """``available`` ``lo, hi`` of each key minus its processed intervals (disjoint, from ``merged_by``)."""
-    inside = (
-        available.select(key, F.col(lo).alias("__a"), F.col(hi).alias("__b"))
-        .join(processed.select(key, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")), key, "left")
-        .groupBy(key, "__a", "__b")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("__lo").isNotNull(), F.struct("__lo", "__hi")))).alias("__p"))
-    )
-    start = F.struct(F.lit(None).cast("long").alias("__lo"), (F.col("__a") - 1).alias("__hi"))
-    end = F.struct((F.col("__b") + 1).alias("__lo"), F.lit(None).cast("long").alias("__hi"))
-    fence = F.concat(F.array(start), F.col("__p"), F.array(end))
-    holes = F.transform(
-        F.sequence(F.lit(1), F.size("__f") - 1),
-        lambda i: F.struct(
-            F.greatest(F.col("__f")[i - 1]["__hi"] + 1, F.col("__a")).alias(lo),
-            F.least(F.col("__f")[i]["__lo"] - 1, F.col("__b")).alias(hi),
-        ),
-    )
-    rows = inside.withColumn("__f", fence).select(key, F.explode(holes).alias("g")).select(key, "g.*")
-    return rows.where(F.col(lo) <= F.col(hi))
-
-
-def flag_in_gaps(df: DataFrame, gaps: DataFrame, key: str, at: str, lo: str, hi: str, flag: str) -> DataFrame:
-    """``df`` with boolean ``flag``: its ``at`` lies in a gap of its key. Gaps must be disjoint within a key.
-
-    The gaps are broadcast after a count; more than ``BROADCAST_GAPS`` of them are cut into buckets, and an
-    equi-join on key and bucket replaces the broadcast.
+def newest_cover(intervals: DataFrame) -> DataFrame:
+    """Disjoint ``lo, hi, upto`` from any ``lo, hi, upto``: for every number the greatest ``upto`` of all intervals over it.
+
+    Intervals are cut into blocks of numbers, and each block is swept once in order with a heap of the open intervals.
+    """
+    usable = intervals.select(F.col("lo").cast("long"), F.col("hi").cast("long"), F.col("upto").cast("long")).where("lo <= hi and upto is not null").distinct()
+    first = lambda b: b * BLOCK
+    cut = usable.select("*", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))).alias("b"))
+    cut = cut.select("b", F.greatest("lo", first(F.col("b"))).alias("lo"), F.least("hi", first(F.col("b")) + (BLOCK - 1)).alias("hi"), "upto")
+    cut = cut.groupBy("b", "lo", "hi").agg(F.max("upto").alias("upto"))
+
+    def sweep(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("lo", "hi", "upto"))))
+        out: list[list[int]] = []
+        open_: list[tuple[int, int]] = []  # (-upto, hi)
+        at = i = 0
+        while i < len(rows) or open_:
+            if not open_:
+                at = rows[i][0]
+            while i < len(rows) and rows[i][0] == at:
+                heapq.heappush(open_, (-rows[i][2], rows[i][1]))
+                i += 1
+            while open_ and open_[0][1] < at:
+                heapq.heappop(open_)
+            if not open_:
+                continue
+            top, hi = -open_[0][0], open_[0][1]
+            end = min(hi, rows[i][0] - 1) if i < len(rows) else hi
+            if out and out[-1][2] == top and out[-1][1] == at - 1:
+                out[-1][1] = end
+            else:
+                out.append([at, end, top])
+            at = end + 1
+        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("lo", "hi", "upto"))})
+
+    return cut.groupBy("b").applyInArrow(sweep, "lo long, hi long, upto long")
+
+
+def flag_unread(rows: DataFrame, read: DataFrame, load: str, at: str, flag: str) -> DataFrame:
+    """``rows`` with boolean ``flag``: no interval of ``read`` (disjoint ``lo, hi, upto``) that reaches the row's load holds its ``at``.
+
+    The intervals are cut into buckets of about the width of one, so that a row meets few of them; the pieces are
+    broadcast after their size is measured, beyond that rows and pieces are joined by bucket.
     """
-    g = gaps.select(F.col(key).alias("__k"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
-    if g.limit(BROADCAST_GAPS + 1).count() <= BROADCAST_GAPS:
-        on = F.col(key).eqNullSafe(F.col("__k")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
-        return df.join(F.broadcast(g), on, "left").withColumn(flag, F.col("__lo").isNotNull()).drop("__k", "__lo", "__hi")
+    g = read.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("upto").alias("__upto"))
     reach = g.agg(F.min("__lo").alias("a"), F.max("__hi").alias("b"), F.count("*").alias("n")).first()
+    if not reach["n"]:
+        return rows.withColumn(flag, F.lit(True))
     width = max(1, (reach["b"] - reach["a"]) // reach["n"])
-    cut = g.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
-    on = F.col(key).eqNullSafe(F.col("__k")) & (F.floor(F.col(at) / width) == F.col("__bucket")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
-    return df.join(cut, on, "left").withColumn(flag, F.col("__lo").isNotNull()).drop("__k", "__lo", "__hi", "__bucket")
+    bucket = lambda c: F.floor(c / F.lit(width).cast("decimal(20,0)")).cast("long")
+    pieces = g.select("*", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi")))).alias("__bucket"))
+    on = (bucket(F.col(at)) == F.col("__bucket")) & F.col(at).between(F.col("__lo"), F.col("__hi"))
+    met = rows.join(broadcast_within(pieces, BROADCAST_GAPS), on, "left")
+    seen = F.coalesce(F.col("__upto") >= F.col(load).cast("long"), F.lit(False))
+    return met.withColumn(flag, ~seen).drop("__lo", "__hi", "__upto", "__bucket")
 
 
-def unread_changes(
-    rows: DataFrame, change: list[str], load: str, at: str, log: DataFrame, log_load: str, lo: str, hi: str
-) -> DataFrame:
-    """The changes (distinct ``change`` columns) of ``rows`` none of whose rows a logged run has read.
+def unread_of(rows: DataFrame, change: list[str], load: str, at: str, read: DataFrame) -> DataFrame:
+    """The changes (distinct ``change`` columns) of ``rows`` none of whose rows lies in the intervals ``read``.
 
-    A run of load ``log_load`` saw the loads up to its own, so the intervals that count for a load are those
-    of runs not before it. For each load present they are merged, subtracted from the load's available
-    range, and only rows in a gap are due; a change is due if all its rows are. One shuffle, on the change,
-    with map-side aggregation. Only the names of the loads are collected, up to ``MAX_LOADS``. Rows of a NULL
-    load were seen by no run.
+    One shuffle, on the change, with map-side aggregation.
     """
     usable = rows.select(*dict.fromkeys([*change, load, at])).where(F.col(at).isNotNull())
-    available = usable.groupBy(load).agg(F.min(at).alias(lo), F.max(at).alias(hi))
-    runs = log.select(F.col(log_load).alias("__run"), F.col(lo).cast("long"), F.col(hi).cast("long"))
-    runs = runs.where(F.col(lo) <= F.col(hi)).distinct()
-    known = [r[0] for r in available.select(load).where(F.col(load).isNotNull()).limit(MAX_LOADS + 1).collect()]
-    if len(known) > MAX_LOADS:
-        raise ValueError(f"more than {MAX_LOADS} loads; split the rows by load")
-    loads = F.filter(F.array(*[F.lit(x) for x in sorted(known)]), lambda x: x <= F.col("__run")) if known else F.array().cast("array<int>")
-    seen = runs.select(F.explode(loads).alias(load), lo, hi)
-    gaps = materialise(gaps_by(merged_by(seen, [load], lo, hi), available, load, lo, hi), "gaps")
-    flagged = flag_in_gaps(usable, gaps, load, at, lo, hi, "__due")
+    flagged = flag_unread(usable, read, load, at, "__due")
     return flagged.groupBy(*change).agg(F.min("__due").alias("__due")).where("__due").drop("__due")
 
 
+def log_intervals(log: DataFrame, log_load: str, lo: str, hi: str) -> DataFrame:
+    """``lo, hi, upto`` of logged runs: a run of load ``log_load`` saw the loads up to its own."""
+    return log.select(F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), F.col(log_load).cast("long").alias("upto"))
+
+
+def unread_changes(
+    rows: DataFrame, change: list[str], load: str, at: str, log: DataFrame, log_load: str, lo: str, hi: str
+) -> DataFrame:
+    """The changes of ``rows`` none of whose rows a logged run has read; nothing is committed (see ``IntervalStore``)."""
+    return unread_of(rows, change, load, at, materialise(newest_cover(log_intervals(log, log_load, lo, hi)), "intervals"))
+
+
 #: Numbers per block; intervals are merged block by block, then across the blocks' edges.
 BLOCK = 1 << 20
 #: Covered ranges, the longest ones, that are pushed down to the source as a filter.
@@ -154,46 +170,82 @@ def not_covered(rows: DataFrame, sequence: str, covered: DataFrame) -> DataFrame
 
 
 class IntervalStore:
-    """Committed output and processed intervals in one folder, published by one atomic rename.
+    """Committed output and processed intervals in one folder, published by one file.
 
     A run writes its rows to ``data/<run>`` and the merged intervals to ``intervals/<run>``, and then a commit
-    file that names them. Rows of a run without commit are never read, so a run that dies, at any point,
-    leaves neither gaps nor repeats behind: the next run finds the same gaps again. Numbers never delivered
-    stay open for late commits. Two runs at once cannot both commit: the later one fails and publishes nothing.
+    file that names them, created without overwriting. Rows of a run without commit are never read, so a run that dies,
+    at any point, leaves neither gaps nor repeats behind: the next run finds the same gaps again. Numbers never delivered
+    stay open for late commits. Two runs at once cannot both commit: the later one fails and publishes nothing. The
+    file system must create a file exclusively, as HDFS and local ones do; object stores need a committer on top.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    #: Reaches every load.
+    ALWAYS = (1 << 63) - 1
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or shared_dir(spark, "store")).rstrip("/")
         self._P = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._P(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._P(f"{self.path}/commits"))
 
     def _latest(self) -> tuple[int, dict]:
+        """The number of the last commit begun, and the state of the last one that was written whole."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._P(f"{self.path}/commits"))]
-        numbers = sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-        if not numbers:
-            return 0, {"intervals": None, "runs": []}
-        stream = self._fs.open(self._P(f"{self.path}/commits/{numbers[-1]:012d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return numbers[-1], json.loads(text)
-
-    def _intervals(self, state: dict) -> DataFrame:
+        numbers = sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+        for number in numbers:
+            stream = self._fs.open(self._P(f"{self.path}/commits/{number:012d}.json"))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                return numbers[0], json.loads(text)
+            except ValueError:  # its writer died, or is still writing and cannot have been told of success
+                continue
+        return (numbers[0] if numbers else 0), {"intervals": None, "runs": []}
+
+    def _covered(self, state: dict) -> DataFrame:
+        """Disjoint ``lo, hi, upto``."""
         if state["intervals"] is None:
-            return self.spark.createDataFrame([], "lo bigint, hi bigint")
-        return self.spark.read.schema("lo bigint, hi bigint").parquet(f"{self.path}/intervals/{state['intervals']}")
+            return self.spark.createDataFrame([], "lo bigint, hi bigint, upto bigint")
+        return self.spark.read.schema("lo bigint, hi bigint, upto bigint").parquet(f"{self.path}/intervals/{state['intervals']}")
 
     def intervals(self) -> DataFrame:
-        """Processed sequence numbers as disjoint ``lo, hi``."""
-        return self._intervals(self._latest()[1])
+        """Processed sequence numbers as disjoint ``lo, hi``, whatever load they were read up to."""
+        return merge_table(self._covered(self._latest()[1]).select("lo", "hi"))
+
+    def covered(self) -> DataFrame:
+        """Processed sequence numbers as disjoint ``lo, hi, upto``."""
+        return self._covered(self._latest()[1])
 
     def read(self) -> DataFrame | None:
         """The output of all committed runs."""
         runs = self._latest()[1]["runs"]
         return self.spark.read.parquet(*[f"{self.path}/data/{r}" for r in runs]) if runs else None
 
+    def _run(self, number: int) -> str:
+        return f"run-{number:012d}-{uuid.uuid4().hex[:8]}"
+
+    def adopt(self, intervals: DataFrame) -> None:
+        """Take over what runs elsewhere have read: any ``lo, hi, upto``, merged with the intervals of this store."""
+        number, state = self._latest()
+        run = self._run(number + 1)
+        newest_cover(self._covered(state).unionByName(intervals.select("lo", "hi", "upto"))).write.parquet(f"{self.path}/intervals/{run}")
+        self._commit(number + 1, {"intervals": run, "runs": state["runs"]})
+
+    def process_changes(self, rows: DataFrame, change: list[str], load: str, at: str) -> bool:
+        """Write the changes of ``rows`` that no run has read, and commit them with the range they were read from.
+
+        A run reads every gap of the available range, so the range counts as read up to the newest load among the rows.
+        """
+        number, state = self._latest()
+        run = self._run(number + 1)
+        unread_of(rows, change, load, at, self._covered(state)).write.parquet(f"{self.path}/data/{run}")
+        here = rows.agg(F.min(at).cast("long").alias("lo"), F.max(at).cast("long").alias("hi"), F.max(load).cast("long").alias("upto")).where("lo is not null")
+        newest_cover(self._covered(state).unionByName(here)).write.parquet(f"{self.path}/intervals/{run}")
+        self._commit(number + 1, {"intervals": run, "runs": [*state["runs"], run]})
+        return True
+
     def process(self, source: DataFrame, sequence: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> bool:
         """Read what is due in ``source``, write it transformed, and commit. False if nothing was due.
 
@@ -201,8 +253,8 @@ class IntervalStore:
         meanwhile. A sequence number belongs to one record: rows that share a number are read in one run.
         """
         number, state = self._latest()
-        done = self._intervals(state)
-        run = f"run-{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        done = merge_table(self._covered(state).select("lo", "hi"))
+        run = self._run(number + 1)
         staged = f"{self.path}/staged/{run}"
         not_covered(source, sequence, done).write.parquet(staged)
         due = self.spark.read.parquet(staged)
@@ -210,20 +262,28 @@ class IntervalStore:
             if due.limit(1).count() == 0:
                 return False
             transform(due).write.parquet(f"{self.path}/data/{run}")
-            merge_table(done.unionByName(present_ranges(due, sequence))).write.parquet(f"{self.path}/intervals/{run}")
+            merged = merge_table(done.unionByName(present_ranges(due, sequence))).withColumn("upto", F.lit(self.ALWAYS))
+            merged.write.parquet(f"{self.path}/intervals/{run}")
             self._commit(number + 1, {"intervals": run, "runs": [*state["runs"], run]})
         finally:
             self._fs.delete(self._P(staged), True)
         return True
 
+    def compact(self) -> None:
+        """Rewrite the output of all runs as one, so that reading does not list a folder a run. Former commits stay readable."""
+        number, state = self._latest()
+        if len(state["runs"]) > 1:
+            run = self._run(number + 1)
+            self.read().write.parquet(f"{self.path}/data/{run}")
+            self._commit(number + 1, {"intervals": state["intervals"], "runs": [run]})
+
     def _commit(self, number: int, state: dict) -> None:
         target = self._P(f"{self.path}/commits/{number:012d}.json")
-        draft = self._P(f"{self.path}/commits/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
+        try:
+            out = self._fs.create(target, False)
+        except Exception as e:
+            raise RuntimeError(f"another run committed {number} first; nothing of this run was published") from e
         try:
             out.write(bytearray(json.dumps(state).encode()))
         finally:
             out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"another run committed {number} first; nothing of this run was published")

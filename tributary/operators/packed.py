@@ -59,7 +59,7 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     bare = F.regexp_replace(inner, "(?s)" + QUOTED, "q")
     kinds = F.regexp_replace(F.regexp_replace(bare, r"[\p{N}][\p{N}_.]*", "9"), r"[\p{L}\p{M}]+", "w")
     marks = F.regexp_extract_all(F.concat(inner, F.lit(_END)), F.lit(_DECLARED), F.lit(1))
-    cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(F.col("__c").isNotNull())
+    cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(inner.rlike(f"[^{ITEM}]"))
     cells = cells.select("__s", F.array_distinct(F.slice(marks, 1, F.size(marks) - 1)).alias("__m"), kinds.alias("__k"))
     per = cells.select("__s", "__k", F.explode("__m").alias("__d"), F.size("__m").alias("__n"))
     pieces = F.split(F.translate("__k", "\\", "/"), F.concat(F.lit("\\Q"), F.translate("__d", "\\", "/"), F.lit("\\E")))

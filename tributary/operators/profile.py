@@ -149,17 +149,16 @@ def _choose(node: DataFrame, level: int) -> DataFrame:
     fewer = F.least("ok", n - F.col("ok"))
     mixed = fewer * (F.col("l") / n + 1) * MODEL_BITS
     any_ = F.col("l") * ANY + n * 2 * RUN + mixed
+    costs = {"below": F.col("best")} if level > 1 else {}  # the more precise one of equals
     if level == 4:
-        costs = {"own": 2 * MODEL_BITS + any_}
+        costs |= {"own": 2 * MODEL_BITS + any_}
     else:
         named = n * (F.log2(total) - F.log2(n))
-        costs = {"own": (F.length(f"s{level}") + 1) * MODEL_BITS + F.col(f"b{level}") + named + mixed, "rest": any_ + n * ESCAPE}
+        costs |= {"own": (F.length(f"s{level}") + 1) * MODEL_BITS + F.col(f"b{level}") + named + mixed, "rest": any_ + n * ESCAPE}
         if level == 1:
             listed = (fewer > 0) & (n <= WORDS) & (n >= total * DOMINANT)
             costs["words"] = F.when(listed, (F.col("l") + n) * MODEL_BITS + named).otherwise(float("inf"))
-    if level > 1:
-        costs["below"] = F.col("best")
-    least = F.least(*costs.values()) if len(costs) > 1 else costs["own"]
+    least = F.least(*costs.values())
     take = F.lit("below")
     for name, cost in reversed(costs.items()):
         take = F.when(cost == F.col("least"), name).otherwise(take)
@@ -319,8 +318,8 @@ class Profile:
     def row_findings(self) -> DataFrame:
         """``load, column_name, finding, key`` of rows with malformed values and values out of range; one pass, no shuffle."""
         parts = [F.struct(F.lit(r.name).alias("column_name"), self._finding(r, F.col(f"c_{r.name}")).alias("finding")) for r in self.rules]
-        found = self._shaped(self.df, self.rules).select("load", "key", F.explode(F.filter(F.array(*parts), lambda p: p["finding"].isNotNull())).alias("j"))
-        return found.select("load", "j.column_name", "j.finding", "key")
+        found = self._shaped(self.df, self.rules).select("load", "key", F.explode(F.array(*parts)).alias("j"))  # stays in generated code
+        return found.select("load", "j.column_name", "j.finding", "key").where("finding is not null")
 
     def aggregates(self) -> DataFrame:
         """``load, column_name, n_rows, n_null, n_distinct, lowest, highest, first_text, last_text`` of every column.
@@ -481,7 +480,7 @@ class Profile:
         merged = moved.groupBy("column_name", "pair", "bucket", "v").agg(F.sum("cur").alias("cur"), F.sum("old").alias("old"))
         inner = Window.partitionBy("column_name", "pair", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         run = merged.select("column_name", "pair", "bucket", F.sum("cur").over(inner).alias("cur"), F.sum("old").over(inner).alias("old"))
-        totals = moved.groupBy("column_name", "pair", "bucket").agg(F.sum("cur").alias("bc"), F.sum("old").alias("bo"))
+        totals = merged.groupBy("column_name", "pair", "bucket").agg(F.sum("cur").alias("bc"), F.sum("old").alias("bo"))
         outer = Window.partitionBy("column_name", "pair").orderBy("bucket")
         whole = Window.partitionBy("column_name", "pair")
         before = outer.rowsBetween(Window.unboundedPreceding, -1)

@@ -140,3 +140,19 @@ ORACLE = {
         union all select feed_nr, file_nr, 'removed', path, '' from ceased anti join renamed on renamed.feed_nr = ceased.feed_nr and renamed.file_nr = ceased.file_nr and renamed.old_path = ceased.path
         union all select feed_nr, file_nr, 'type_changed', path, '' from p join o using (feed_nr, file_nr, path) where p.kinds <> o.kinds and len(p.kinds) > 0 and len(o.kinds) > 0""",
 }
+ORACLE["p6_later"] = ORACLE["p6_found"].replace("select table_name, row_key, field_name, us as epoch_us from n union all select table_name, row_key, field_name, cast(us as bigint) from k", """select row_key, cast(us as bigint) as epoch_us
+            from (select table_name, row_key, field_name, us from n union all select table_name, row_key, field_name, us from k) where field_name = 'b.ts'""")
+ORACLE["p4_intervals"] = """
+        with s as (select case
+                     when updated_at_sec >= 978307200 and updated_at_sec < 4133980800 then updated_at_sec
+                     when updated_at_sec >= 978307200000 and updated_at_sec < 4133980800000 then updated_at_sec // 1000
+                     when updated_at_sec >= 978307200000000 and updated_at_sec < 4133980800000000 then updated_at_sec // 1000000
+                     when updated_at_sec >= 978307200000000000 and updated_at_sec < 4133980800000000000 then updated_at_sec // 1000000000 end as t from mock_data),
+             r as (select coalesce(try_cast(first_value as bigint), cast(epoch(try_cast(first_value as timestamp)) as bigint)) as lo,
+                     coalesce(try_cast(last_value as bigint), cast(epoch(try_cast(last_value as timestamp)) as bigint)) as hi
+                   from load_log where partition_column = 'updated_at_sec' and run_state = 'succeeded'
+                   union all select min(t), max(t) from s),
+             g as (select * from r where lo <= hi),
+             n as (select *, case when lo <= max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as fresh from g),
+             p as (select *, sum(fresh) over (order by lo, hi) as part from n)
+        select min(lo) as lo, max(hi) as hi, cast(0 as bigint) as due_again from p group by part"""
