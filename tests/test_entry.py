@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tributary import oracle, preparation_oracle, preparation_queries, queries
+from tributary import component_oracle, component_queries, oracle, preparation_oracle, preparation_queries, queries
 
-SQL = oracle.ORACLE | preparation_oracle.ORACLE
-QUERIES = queries.QUERIES | preparation_queries.QUERIES
+SQL = oracle.ORACLE | component_oracle.ORACLE | preparation_oracle.ORACLE
+QUERIES = queries.QUERIES | component_queries.QUERIES | preparation_queries.QUERIES
 
 
 @pytest.fixture(scope="module")

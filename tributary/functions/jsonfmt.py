@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,24 +18,26 @@ EMPTY = ['{"v":null}', '{"v":""}', '{"v":0}', '{"v":0.0}', '{"v":-0.0}', '{"v":f
 
 
 @F.pandas_udf(T.StringType())
-def _python_style(texts: pd.Series) -> pd.Series:
-    def one(text):
+def _python_style(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    def one(text, kind):
         if text is None:
             return None
         value = json.loads(text)["v"]
-        objects = isinstance(value, dict) or (isinstance(value, list) and all(isinstance(v, dict) for v in value))
-        return json.dumps(value) if objects else str(value)
+        if kind.startswith(("struct", "array<struct")):
+            return json.dumps(value)
+        return str(datetime.fromisoformat(value).replace(tzinfo=None) if kind.startswith("timestamp") else value)
 
-    return texts.map(one)
+    return pd.Series([one(*pair) for pair in zip(texts, kinds)], dtype=object)
 
 
 @transformation
 def to_json_string(value: Column, cast="string", python_style=False) -> Column:
     """JSON text of objects and arrays with NULL fields kept; texts as they are; nothing (NULL, empty, 0, false) is NULL.
 
-    ``python_style`` spaces and escapes like Python's json module, by an Arrow UDF; the default is built in.
+    ``python_style`` writes objects and lists of objects like Python's json module and all else (lists, maps, times) like
+    Python's ``str``, by an Arrow UDF; the default is built in.
     """
     framed = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
     filled = F.when(~framed.isin(EMPTY), framed)
-    text = _python_style(filled) if python_style else F.get_json_object(filled, "$.v")
+    text = _python_style(filled, F.typeof(value)) if python_style else F.get_json_object(filled, "$.v")
     return try_to(text, as_type(cast))

@@ -11,7 +11,8 @@ class Pipeline:
     """``input_df`` stands in for a source; ``bypass_loader`` returns the result instead of loading it.
 
     A step is anything with ``transform(df)`` or a function from table to table. Steps are lazy: only the sink
-    (or the caller) starts a job.
+    (or the caller) starts a job. A source that keeps a log of what it has read (it has ``commit()``) writes it after the
+    sink has stored the rows; without a sink it does as it does by itself.
     """
 
     def __init__(self, input_df: DataFrame | None = None, bypass_loader: bool = False):
@@ -53,4 +54,8 @@ class Pipeline:
         return self.loader.load(input_df)
 
     def execute(self) -> DataFrame | None:
-        return self.load(self.transform(self.extract()))
+        if self.bypass_loader or not hasattr(self.extractor, "commit"):
+            return self.load(self.transform(self.extract()))
+        done = self.load(self.transform(self.extractor.extract(commit=False)))
+        self.extractor.commit()
+        return done

@@ -9,9 +9,13 @@ from pyspark.sql import types as T
 from tributary.sources.base import Extractor
 
 
-def remove_hdfs_prefix(path: str) -> str:
+#: Fixed values that older job definitions carry.
+PREFIXES = ("hdfs://nameservice-ha", ":8020")
+
+
+def remove_hdfs_prefix(path: str, prefixes: tuple[str, ...] = PREFIXES) -> str:
     """``path`` without the name service and port that older job definitions carry."""
-    for prefix in ("hdfs://nameservice-ha", ":8020"):  # fixed values
+    for prefix in prefixes:
         path = path.replace(prefix, "")
     return path
 
@@ -88,7 +92,7 @@ class JSONExtractor(Extractor):
         if self.sampling_ratio:
             reader = reader.option("samplingRatio", self.sampling_ratio)
         if self._is_sequence_file(spark):
-            # the one format without a DataFrame reader
+            # the one format without a DataFrame reader; turning its values into texts inside the JVM would need classes of one's own there
             values = spark.sparkContext.sequenceFile(self.input_path).map(lambda kv: bytes(kv[1]).decode("utf-8") if not isinstance(kv[1], str) else kv[1])
             df = reader.json(values)
         else:

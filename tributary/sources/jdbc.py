@@ -27,15 +27,35 @@ def read_query(options: dict, query: str) -> DataFrame:
     return reader.options(**{**options, "dbtable": f"({query}) as table_statement"}).load()
 
 
+def in_parts(options: dict, query: str, column: str | None, parts: int | None, reader: Callable[[dict, str], DataFrame]) -> dict:
+    """``options`` by which ``query`` is read in ``parts`` over the range of ``column`` (a number, date or timestamp).
+
+    The database is asked for the range first; rows beyond it, and NULLs, belong to the outer parts, so nothing is left out.
+    """
+    if not column or not parts or parts < 2:
+        return options
+    low, high = reader(options, f"select min({column}) as low_end, max({column}) as high_end from ({query}) asked").first()
+    if low is None or low == high:
+        return options
+    return {**options, "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
 class JDBCExtractorFullLoad(Extractor):
-    """The rows of a query. ``reader(options, query)`` stands in for the database in tests."""
+    """The rows of a query. ``reader(options, query)`` stands in for the database in tests.
 
-    def __init__(self, query: str, jdbc_options: dict, cache: bool = True, reader: Callable[[dict, str], DataFrame] = read_query):
+    With ``partition_column`` and ``num_partitions`` the query is read in parallel, else by one task.
+    """
+
+    def __init__(
+        self, query: str, jdbc_options: dict, cache: bool = True, reader: Callable[[dict, str], DataFrame] = read_query,
+        partition_column: str | None = None, num_partitions: int | None = None,
+    ):
         check_options(jdbc_options)
         self.query, self.jdbc_options, self.cache, self.reader = " ".join(query.split()).rstrip(";"), dict(jdbc_options), cache, reader
+        self.partition_column, self.num_partitions = partition_column, num_partitions
 
     def extract(self) -> DataFrame:
-        df = self.reader(self.jdbc_options, self.query)
+        df = self.reader(in_parts(self.jdbc_options, self.query, self.partition_column, self.num_partitions, self.reader), self.query)
         return df.cache() if self.cache else df
 
 
@@ -141,32 +161,41 @@ def _quoted(text) -> str:
 class JDBCExtractorIncremental(Extractor):
     """Rows of ``source_table`` within bounds from the log; the bounds of what was read are logged.
 
-    Call ``commit()`` once the rows are safely stored, or leave ``commit_on_extract`` to log at once.
+    A ``Pipeline`` with a sink logs after the sink has stored the rows, so that a failed load is read again. By itself
+    ``extract()`` logs at once, as callers of older tools expect; with ``commit_on_extract=False`` call ``commit()``
+    once the rows are stored. The bounds are observed before the rows are handed on, and rows that arrive later with
+    greater values are left to the next load. ``num_partitions`` reads in parallel over the boundary column.
     """
 
     def __init__(
         self, partition: int | str, jdbc_options: dict, source_table: str, values_table: str, values_db: str | None = None,
         values_partition_column: str | None = "updated_at", cache: bool = True, exact_reload: bool = False, commit_on_extract: bool = True,
-        reader: Callable[[dict, str], DataFrame] = read_query,
+        reader: Callable[[dict, str], DataFrame] = read_query, num_partitions: int | None = None,
     ):
         check_options(jdbc_options)
         self.partition, self.jdbc_options, self.source_table = int(partition), dict(jdbc_options), source_table
         self.log = BoundsLog(f"{values_db}.{values_table}" if values_db else values_table, values_partition_column)
         self.cache, self.exact_reload, self.commit_on_extract, self.reader = cache, exact_reload, commit_on_extract, reader
-        self._read: DataFrame | None = None
+        self.num_partitions = num_partitions
+        self._observed: tuple | None = None
 
     def query(self) -> str:
         bounds = self.log.bounds(self.partition, self.exact_reload)
         return bounded_query(self.source_table, self.log.partition_column, bounds)
 
-    def extract(self) -> DataFrame:
-        df = self.reader(self.jdbc_options, self.query())
-        self._read = df.cache() if self.cache else df
-        if self.commit_on_extract:
+    def extract(self, commit: bool | None = None) -> DataFrame:
+        query = self.query()
+        column = self.log.partition_column
+        df = self.reader(in_parts(self.jdbc_options, query, column, self.num_partitions, self.reader), query)
+        df = df.cache() if self.cache else df
+        self._observed = observed_bounds(df, column)
+        if not self.cache and self._observed[1] is not None:
+            df = df.where((F.col(column) <= F.lit(self._observed[1])) | F.col(column).isNull())
+        if self.commit_on_extract if commit is None else commit:
             self.commit()
-        return self._read
+        return df
 
     def commit(self) -> None:
-        if self._read is None:
+        if self._observed is None:
             raise RuntimeError("nothing was extracted")
-        self.log.write(self.partition, *observed_bounds(self._read, self.log.partition_column))
+        self.log.write(self.partition, *self._observed)
