@@ -156,3 +156,21 @@ ORACLE["p4_intervals"] = """
              n as (select *, case when lo <= max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as fresh from g),
              p as (select *, sum(fresh) over (order by lo, hi) as part from n)
         select min(lo) as lo, max(hi) as hi, cast(0 as bigint) as due_again from p group by part"""
+ORACLE["p2_cells"] = """
+        with recursive r as (select feed_nr, file_nr, line_nr, row_number() over () as rec, try_cast(payload as json) as j from raw_records),
+             n as (select rec, 'o' as kind, j->'attributes' as v from r where json_type(j) = 'OBJECT' and json_type(j->'attributes') in ('OBJECT', 'ARRAY')
+                   union all
+                   select rec, case when json_type(v) = 'ARRAY' then 'e' else 'k' end, case when json_type(v) = 'ARRAY' then json_extract(v, '$[' || k || ']') else json_extract(v, '$."' || k || '"') end
+                   from (select rec, v, unnest(case when json_type(v) = 'ARRAY' then list_transform(range(cast(json_array_length(v) as bigint)), lambda x: cast(x as varchar)) else json_keys(v) end) as k
+                         from n where json_type(v) in ('OBJECT', 'ARRAY')))
+        select feed_nr, file_nr, line_nr, cast(count(*) filter (kind = 'k' and json_type(v) <> 'NULL') as bigint) as n_cells from r left join n using (rec) where json_type(j) = 'OBJECT' group by feed_nr, file_nr, line_nr"""
+ORACLE["p5_delimiters"] = r"""
+        with c as (select src, trim(b.itms, ' ') as t from status_records where b.itms is not null),
+             d as (select src, case when length(t) >= 2 and (t[1] || t[-1]) in ('[]', '{}', '()') then t[2:-2] else t end as t from c),
+             e as (select src, list_distinct(regexp_extract_all(t || chr(1), '(?s) *(?:"(?:[^"\\]|""|\\"|\\)*"|''(?:[^''\\]|''''|\\''|\\)*''|[\p{L}\p{M}\p{N}_. -]*) *([^\p{L}\p{M}\p{N}_. -])', 1)) as m,
+                     regexp_replace(regexp_replace(regexp_replace(t, '(?s)"(?:[^"\\]|""|\\"|\\)*"|''(?:[^''\\]|''''|\\''|\\)*''', 'q', 'g'), '\p{N}[\p{N}_.]*', '9', 'g'), '[\p{L}\p{M}]+', 'w', 'g') as k from d),
+             f as (select src, k, unnest(list_filter(m, lambda x: x <> chr(1))) as delimiter, len(m) - 1 as n from e),
+             g as (select src, delimiter, n, string_split(k, delimiter) as ps from f),
+             h as (select src, delimiter, case when n <= 1 then 1.0::double else 0.0::double end as sole, cast(len(ps) as double) as size, len(list_filter(ps, lambda x: regexp_full_match(trim(x, ' '), '|q|9|w|w-9|w(?: +(?:w|9))*'))) as good from g),
+             s as (select src, delimiter, count(*) as cells, avg(sole) * sqrt(avg(size) * avg(size) / avg(size * size)) as consistency, avg(good / size) as regularity from h group by src, delimiter)
+        select src, delimiter, cells, round(consistency, 8) as consistency, round(regularity, 8) as regularity, round(consistency * regularity, 8) as score, consistency * regularity >= 0.25 as chosen from s"""

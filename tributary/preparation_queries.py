@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.drift import appearing_alternatives, file_unions, schema_changes, unify
@@ -66,6 +68,16 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     return unify(raw, ["feed_nr", "file_nr", "line_nr"], "payload", "attributes", "id", "feed_nr", "file_nr", exact_numbers=True)
 
 
+def p2_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values of each line the unified table holds, nested ones and those in arrays counted one by one."""
+    table, keys = p2_unified(spark, sf), ["feed_nr", "file_nr", "line_nr"]
+    kinds = ("string", "number", "boolean", "object", "array", "integer", "decimal")
+    texts = [f for f in table.schema.fields[4:] if not any(f.name.endswith(f"__{k}") for k in kinds)]
+    filled = lambda c, kind: F.aggregate(c, F.lit(0), lambda n, x: n + filled(x, kind.elementType)) if kind.typeName() == "array" else F.when(c.isNotNull(), 1).otherwise(0)
+    each = [F.coalesce(filled(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in texts]
+    return table.groupBy(*keys).agg(F.sum(reduce(Column.__add__, each, F.lit(0))).alias("n_cells"))
+
+
 def _profile(spark: SparkSession, sf: str) -> Profile:
     return Profile(read_table(spark, sf, "mock_data"), "dt", "row_nr", MOCK_RULES)
 
@@ -172,7 +184,8 @@ def p5_inferred(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_delimiters(spark: SparkSession, sf: str) -> DataFrame:
     cells = read_table(spark, sf, "status_records").select("src", F.col("b.itms").alias("itms"))
-    return infer_delimiters(cells, "src", "itms")
+    found = infer_delimiters(cells, "src", "itms")
+    return found.select("src", "delimiter", "cells", *[F.round(c, 8).alias(c) for c in ("consistency", "regularity", "score")], "chosen")
 
 
 def _stamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,5 +222,5 @@ def p6_later(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p3_found, p3_aggregates, p3_ranges, p3_coverage, p3_expressions, p3_departures, p3_coverage_changes, p4_found, p4_intervals, p4_runs, p5_found, p5_inferred, p5_delimiters, p6_found, p6_later,
+    p1_found, p1_contacts, p1_friends, p2_found, p2_alternatives, p2_unified, p2_cells, p3_found, p3_aggregates, p3_ranges, p3_coverage, p3_expressions, p3_departures, p3_coverage_changes, p4_found, p4_intervals, p4_runs, p5_found, p5_inferred, p5_delimiters, p6_found, p6_later,
 )}
