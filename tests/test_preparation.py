@@ -58,12 +58,19 @@ def test_nested_identity_tells_contents_apart(spark):
     assert one(*maps[0]) == one(*maps[1])
 
 
+def test_nested_identity_tells_types_apart(spark):
+    one = lambda kind, v: flatten_records(spark.createDataFrame([(1, (v,))], f"id int, r struct<n:{kind}>"), "id", ["r"]).bridge.first().identity
+    assert len({one("int", 1), one("string", "1"), one("bigint", 1)}) == 3 and one("int", 1) == one("int", 1)
+
+
 def test_nested_empty_null_keys_and_odd_names(spark):
     assert bridge_of(flatten_records(nested(spark, []), "id", ["r"]).bridge) == []
     tables = flatten_records(nested(spark, [(None, "e", DEEP), (None, "e", DEEP), (None, "e", ("b", 0.0, None, None))]), "id", ["r"])
     assert tables.bridge.where("path = 'r'").count() == 2
     clash = nested(spark, [(1, "e", DEEP)]).withColumnRenamed("extra", "record_key").withColumn("all", F.lit(1)).withColumn("path", F.lit("x"))
     assert flatten_records(clash, "id", ["r"]).bridge.count() == 5
+    dotted = flatten_records(nested(spark, [(1, "e", DEEP)]).withColumnRenamed("r", "r.x"), "id", ["r.x"]).bridge
+    assert {(r.path, r.parent_path) for r in dotted.collect()} == {("r.x", ""), ("r.x.l", "r.x"), ("r.x.l.l", "r.x.l")}
     with pytest.raises(ValueError):
         flatten_records(nested(spark, []), "id", ["extra"])
 

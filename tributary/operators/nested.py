@@ -1,8 +1,8 @@
 """Deeply nested records as related flat tables, by Merkle identities of subtrees.
 
 Every object of a record gets an identity: the MD5 of its canonical form, in which scalar fields are
-length-prefixed text and child objects are stood for by their own identities, computed bottom-up. Equal
-objects share one identity and are stored once; each occurrence is kept as a bridge row that names the
+length-prefixed text under name and type and child objects are stood for by their own identities, computed bottom-up. Equal
+objects share one identity and are stored once per path; each occurrence is kept as a bridge row that names the
 parent object, the parent's identity and the ordinals on the way from the root.
 
 Defined results
@@ -62,7 +62,7 @@ def annotate(value: Column, kind: T.DataType) -> Column:
         def node(kids: Column | None) -> Column:
             parts = [_framed(_leaf_text(value[f.name], f.dataType)) for f in leaves]
             parts += [_framed(kids[f.name]["h"]) for f in sorted(children, key=lambda f: f.name)]
-            names = ",".join([f.name for f in leaves] + sorted(f.name for f in children))
+            names = ",".join([f"{f.name} {f.dataType.simpleString()}" for f in leaves] + sorted(f.name for f in children))
             fields = [F.md5(F.concat(F.lit(f"{{{names}}}"), *parts)).alias("h"), value.alias("v")]
             return F.struct(*fields, *([kids.alias("k")] if kids is not None else []))
 
@@ -81,26 +81,24 @@ def annotate(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNotNull(), _bind(elements, listed))
 
 
-def _occurrence(path: str, parent: str, ordinals: Column, parent_hash: Column, node: Column) -> Column:
-    return F.struct(
-        F.lit(path).alias("path"), F.lit(parent).alias("parent_path"), ordinals.alias("ordinals"),
-        parent_hash.alias("parent_identity"), node["h"].alias("identity"),
-    )
+def _occurrence(path: str, numbers: dict[str, int], ordinals: Column, parent_hash: Column, node: Column) -> Column:
+    """A bridge row as it travels: the path by its number, identities as bytes."""
+    return F.struct(F.lit(numbers[path]).alias("path"), ordinals.alias("ordinals"), F.unhex(parent_hash).alias("parent"), F.unhex(node["h"]).alias("own"))
 
 
-def _occurrences(node: Column, kind: T.DataType, path: str, parent: str, ordinals: Column, parent_hash: Column) -> Column:
+def _occurrences(node: Column, kind: T.DataType, path: str, numbers: dict[str, int], ordinals: Column, parent_hash: Column) -> Column:
     """All bridge rows below an annotated value, as one array."""
-    none = F.array().cast("array<struct<path:string,parent_path:string,ordinals:array<int>,parent_identity:string,identity:string>>")
+    none = F.array().cast("array<struct<path:int,ordinals:array<int>,parent:binary,own:binary>>")
     if isinstance(kind, T.StructType):
-        lists = [F.array(_occurrence(path, parent, ordinals, parent_hash, node))]
+        lists = [F.array(_occurrence(path, numbers, ordinals, parent_hash, node))]
         lists += [
-            _occurrences(node["k"][f.name], f.dataType, f"{path}.{f.name}", path, ordinals, node["h"])
+            _occurrences(node["k"][f.name], f.dataType, f"{path}.{f.name}", numbers, ordinals, node["h"])
             for f in kind.fields if _has_object(f.dataType)
         ]
         return F.when(node.isNotNull(), F.concat(*lists) if len(lists) > 1 else lists[0]).otherwise(none)
     inner = F.transform(
         node["k"],
-        lambda e, i: _occurrences(e, kind.elementType, path, parent, F.concat(ordinals, F.array(i)), parent_hash),
+        lambda e, i: _occurrences(e, kind.elementType, path, numbers, F.concat(ordinals, F.array(i)), parent_hash),
     )
     return F.coalesce(F.flatten(inner), none)
 
@@ -132,7 +130,7 @@ def _node_reader(root: str, kind: T.DataType, steps: list):
     """A function from annotated records to one row per node at the end of ``steps``."""
 
     def read(records: DataFrame) -> DataFrame:
-        rows = records.select(F.col(f"n_{root}").alias("o"))
+        rows = records.select(F.col(f"`n_{root}`").alias("o"))
         for step in steps:
             rows = rows.select(F.explode(F.col("o")["k"]).alias("o")) if step is None else rows.select(F.col("o")["k"][step].alias("o"))
         return rows
@@ -140,14 +138,15 @@ def _node_reader(root: str, kind: T.DataType, steps: list):
     return read
 
 
-def _walk(root: str, kind: T.DataType, path: str, steps: list, found: dict) -> None:
+def _walk(root: str, kind: T.DataType, path: str, parent: str, steps: list, found: dict) -> None:
+    """Type, reader and parent of every path at and below ``path``."""
     if isinstance(kind, T.ArrayType):
-        _walk(root, kind.elementType, path, [*steps, None], found)
+        _walk(root, kind.elementType, path, parent, [*steps, None], found)
         return
-    found[path] = (kind, _node_reader(root, kind, steps))
+    found[path] = (kind, _node_reader(root, kind, steps), parent)
     for f in kind.fields:
         if _has_object(f.dataType):
-            _walk(root, f.dataType, f"{path}.{f.name}", [*steps, f.name], found)
+            _walk(root, f.dataType, f"{path}.{f.name}", path, [*steps, f.name], found)
 
 
 def flatten_records(df: DataFrame, key: str, roots: list[str]) -> NestedTables:
@@ -162,13 +161,19 @@ def flatten_records(df: DataFrame, key: str, roots: list[str]) -> NestedTables:
         if r not in kinds or not _has_object(kinds[r]):
             raise ValueError(f"{r} is no object or array of objects of the table")
     nodes = df.select(F.col(key).alias(KEY), *[annotate(F.col(f"`{r}`"), kinds[r]).alias(f"n_{r}") for r in roots])
-    identity = F.md5(F.concat(*[_framed(F.col(f"n_{r}")["h"]) for r in roots]))
+    identity = F.md5(F.concat(*[_framed(F.col(f"`n_{r}`")["h"]) for r in roots]))
+    found: dict = {}
+    for r in roots:
+        _walk(r, kinds[r], r, "", [], found)
+    paths = list(found)
+    numbers = {p: i for i, p in enumerate(paths)}
     empty = F.array().cast("array<int>")
-    lists = [_occurrences(F.col(f"n_{r}"), kinds[r], r, "", empty, F.lit(None).cast("string")) for r in roots]
+    lists = [_occurrences(F.col(f"`n_{r}`"), kinds[r], r, numbers, empty, F.lit(None).cast("string")) for r in roots]
     rows = nodes.select(KEY, identity.alias(IDENTITY), (reduce(F.concat, lists)).alias("all"))
     once = rows.groupBy(KEY, F.when(F.col(KEY).isNull(), F.col(IDENTITY)).alias("lone")).agg(F.min_by("all", IDENTITY).alias("all"))
-    bridge = once.select(KEY, F.explode("all").alias("x")).select(KEY, "x.*")
-    found: dict = {}
-    for r in roots:
-        _walk(r, kinds[r], r, [], found)
-    return NestedTables(bridge, nodes, {p: k for p, (k, _) in found.items()}, {p: r for p, (_, r) in found.items()})
+    named = lambda names: F.get(F.array(*[F.lit(n) for n in names]), F.col("x.path"))
+    bridge = once.select(KEY, F.explode("all").alias("x")).select(
+        KEY, named(paths).alias("path"), named([parent for _, _, parent in found.values()]).alias("parent_path"), F.col("x.ordinals").alias("ordinals"),
+        F.lower(F.hex("x.parent")).alias("parent_identity"), F.lower(F.hex("x.own")).alias("identity"),
+    )
+    return NestedTables(bridge, nodes, {p: k for p, (k, _, _) in found.items()}, {p: r for p, (_, r, _) in found.items()})
