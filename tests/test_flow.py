@@ -17,7 +17,7 @@ from tributary.plans import Pipeline, PipelineFactory, build_pipeline
 from tributary.plans.spec import register
 from tributary.sources import CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JSONExtractor, ParquetLoader
 from tributary.sources.files import infer_input_path_from_partition
-from tributary.sources.jdbc import Bounds, BoundsLog, bounded_query
+from tributary.sources.jdbc import Bounds, BoundsLog, bounded_query, in_parts
 from tributary.streaming import apply_steps, load_in_batches, newest_in_batches
 
 LINES = [{"id": 1, "a": {"t": "one\ntwo\r", "l": [{"x": "p\nq"}]}}, {"id": 2, "a": {"t": "C:\\new", "l": None}}, {"id": 3}]
@@ -143,6 +143,40 @@ def test_incremental_load(spark):
         spark.sql("drop table numberlog")
 
 
+def test_parts_of_a_query(spark):
+    spark.range(5, 100).createOrReplaceTempView("parts_source")
+    read = lambda _, query: spark.sql(query)
+    want = {**OPTIONS, "partitionColumn": "id", "lowerBound": "5", "upperBound": "99", "numPartitions": "3"}
+    assert in_parts(OPTIONS, "select * from parts_source", "id", 3, read) == want
+    for query, column, parts in (("select * from parts_source where id = 7", "id", 3), ("select * from parts_source where id < 0", "id", 3), ("select 1", None, 3), ("select 1", "id", 1)):
+        assert in_parts(OPTIONS, query, column, parts, read) == OPTIONS
+
+
+def test_a_failed_sink_leaves_the_log_alone(spark):
+    class Source:
+        log: list = []
+
+        def extract(self, commit=None):
+            return spark.range(3)
+
+        def commit(self):
+            self.log.append(1)
+
+    class Sink:
+        def __init__(self, works):
+            self.works = works
+
+        def load(self, df):
+            if not self.works:
+                raise RuntimeError("full")
+
+    with pytest.raises(RuntimeError):
+        Pipeline().set_extractor(Source()).set_loader(Sink(False)).execute()
+    assert Source.log == []
+    Pipeline().set_extractor(Source()).set_loader(Sink(True)).execute()
+    assert Source.log == [1]
+
+
 def part(name, value, kind="IntegerType"):
     return {"column_name": name, "column_type": kind, "default_value": value}
 

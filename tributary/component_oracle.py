@@ -14,6 +14,7 @@ ORACLE = {
         union all select 20200102, count(*), min(event_id), max(event_id) from b union all select 20200103, count(*), min(event_id), max(event_id) from c""",
     "bounds_of_log": """select * from (values (20180510, null, '2018-05-15 03:30:00'), (20180515, '2018-05-15 03:30:00', '2018-05-16 03:29:59'),
         (20180517, '2018-05-17 03:30:00', '2018-05-18 03:29:59'), (20180520, '2018-05-18 03:29:59', null)) t(dt, "lower", "upper")""",
+    "jdbc_sink": "select n_nationkey, n_name from nation",
     "table_append": "select n_nationkey, cast(case when n_nationkey < 5 then 2 else 1 end as bigint) as n, 3 as refused from nation",
     "comments_inserted": """select * from (values ('insert', 'n_nationkey', 'the key'), ('insert', 'n_name', 'a name'), ('insert', 'n_regionkey', 'own'),
         ('upsert', 'n_nationkey', 'mapped'), ('upsert', 'n_name', 'a name'), ('upsert', 'n_regionkey', 'its region'),

@@ -20,7 +20,7 @@ from tributary.operators.project import Mapper, MapperMode
 from tributary.plans import Pipeline, PipelineFactory
 from tributary.plans.spec import COMPONENTS, build_pipeline, register
 from tributary.runtime import read_table, shared_dir
-from tributary.sources import BoundsLog, CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JSONExtractor
+from tributary.sources import BoundsLog, CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JDBCLoader, JSONExtractor
 from tributary.sources.files import fix_suffix, infer_input_path_from_partition, remove_hdfs_prefix
 
 
@@ -128,6 +128,15 @@ def bounds_of_log(spark: SparkSession, sf: str) -> DataFrame:
 # sinks
 
 
+def jdbc_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows written into a database in two loads and read back."""
+    nations = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("N_NATIONKEY"), F.col("n_name").alias("N_NAME"))
+    options = _database(spark, nations.limit(0), "target")
+    JDBCLoader(options, "target").load(nations.where("N_NATIONKEY < 10"))
+    JDBCLoader(options, "target", num_partitions=2).load(nations.where("N_NATIONKEY >= 10"))
+    return JDBCExtractorFullLoad("select * from target", options, cache=False).extract().toDF("n_nationkey", "n_name")
+
+
 def table_append(spark: SparkSession, sf: str) -> DataFrame:
     """Appends to a partition, and what a table refuses."""
     nations, table = read_table(spark, sf, "nation").select("n_nationkey", "n_name"), _name("nations")
@@ -274,6 +283,6 @@ def log_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    json_inferred, json_sequence, csv_inferred, input_paths, jdbc_parallel, jdbc_incremental, bounds_of_log, table_append, comments_inserted, refusals,
+    json_inferred, json_sequence, csv_inferred, input_paths, jdbc_parallel, jdbc_incremental, bounds_of_log, jdbc_sink, table_append, comments_inserted, refusals,
     pipeline_by_http, own_component, json_python_style, log_levels,
 )}

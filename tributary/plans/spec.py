@@ -20,11 +20,11 @@ from tributary.operators.filters import NoIdDropper, Sieve
 from tributary.operators.latest import NewestByGroup
 from tributary.operators.project import Mapper, MapperMode, MissingColumnHandling
 from tributary.plans.pipeline import Pipeline
-from tributary.sources import CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JSONExtractor, ParquetLoader
+from tributary.sources import CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JDBCLoader, JSONExtractor, ParquetLoader
 
 BYPASS = "ByPass"
 COMPONENTS: dict[str, Callable] = {c.__name__: c for c in (
-    Annotator, CSVExtractor, EnumCleaner, Exploder, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JSONExtractor, Mapper,
+    Annotator, CSVExtractor, EnumCleaner, Exploder, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JDBCLoader, JSONExtractor, Mapper,
     NewestByGroup, NoIdDropper, NullCleaner, ParquetLoader, Sieve, ThresholdCleaner,
 )}
 

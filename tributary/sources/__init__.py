@@ -2,9 +2,9 @@
 
 from tributary.sources.files import CSVExtractor, JSONExtractor
 from tributary.sources.jdbc import BoundsLog, JDBCExtractorFullLoad, JDBCExtractorIncremental
-from tributary.sources.sinks import HiveLoader, ParquetLoader, PartitionDefinition
+from tributary.sources.sinks import HiveLoader, JDBCLoader, ParquetLoader, PartitionDefinition
 
 __all__ = [
-    "BoundsLog", "CSVExtractor", "HiveLoader", "JDBCExtractorFullLoad", "JDBCExtractorIncremental", "JSONExtractor",
+    "BoundsLog", "CSVExtractor", "HiveLoader", "JDBCExtractorFullLoad", "JDBCExtractorIncremental", "JDBCLoader", "JSONExtractor",
     "ParquetLoader", "PartitionDefinition",
 ]

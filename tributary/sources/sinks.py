@@ -1,4 +1,4 @@
-"""Sinks: partitioned catalog tables and parquet folders."""
+"""Sinks: partitioned catalog tables, parquet folders and database tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.sources.base import Loader
+from tributary.sources.jdbc import check_options
 from tributary.types import as_type, try_to
 
 
@@ -110,3 +111,20 @@ class ParquetLoader(Loader):
     def load(self, input_df: DataFrame) -> None:
         df = input_df.withColumns({c: F.lit(v) for c, v in self.explicit_partition_values.items()})
         df.write.mode(self.mode).partitionBy(*self.partition_by).option("compression", self.compression_codec).parquet(self.path)
+
+
+class JDBCLoader(Loader):
+    """Write into a table of a database, from ``num_partitions`` tasks at most, in batches of ``batch_size`` rows.
+
+    Every task commits its own rows, so a load that fails half-way leaves rows behind; write into a fresh table and
+    swap it in where that matters.
+    """
+
+    def __init__(self, jdbc_options: dict, table_name: str, mode: str = "append", num_partitions: int = 8, batch_size: int = 10_000):
+        check_options(jdbc_options)
+        self.jdbc_options, self.table_name, self.mode = dict(jdbc_options), table_name, mode
+        self.num_partitions, self.batch_size = num_partitions, batch_size
+
+    def load(self, input_df: DataFrame) -> None:
+        options = {**self.jdbc_options, "dbtable": self.table_name, "numPartitions": str(self.num_partitions), "batchsize": str(self.batch_size)}
+        input_df.write.format("jdbc").options(**options).mode(self.mode).save()
