@@ -45,8 +45,10 @@ MODEL_BITS, ESCAPE = 7.0, 10.0
 LETTER, DIGIT, ALNUM, JOINED, ANY, RUN = math.log2(26), math.log2(10), math.log2(62), math.log2(66), 8.0, 4.0
 #: Ranges per power of two into which the numbers of a distribution are cut, so that no task sums up a whole load.
 RANGES = 1024
-#: Loads whose names may be broadcast.
+#: Loads whose names may be broadcast, and ranges in doubt.
 MAX_LOADS = 200_000
+#: Counts whose products are compared.
+WIDE = "decimal(18,0)"
 
 #: Texts that are numbers, in columns with declared numbers but no form.
 NUMBER = r"\A[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
@@ -445,7 +447,8 @@ class Profile:
         per = self._cells.groupBy("column_name", "load").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("filled"), 0).otherwise(F.col("n"))).alias("nulls"))
         w = Window.partitionBy("column_name").orderBy(F.col("load").asc_nulls_first())
         per = per.withColumn("n0", F.lag("n").over(w)).withColumn("nulls0", F.lag("nulls").over(w))
-        apart = F.abs(F.col("nulls") * F.col("n0") - F.col("nulls0") * F.col("n")) * down > F.col("n") * F.col("n0") * up
+        wide = lambda c: F.col(c).cast(WIDE)
+        apart = F.abs(wide("nulls") * wide("n0") - wide("nulls0") * wide("n")) * down > wide("n") * wide("n0") * up
         nulls = per.where(apart).select("load", "column_name", F.lit("null_rate").alias("finding"))
         return nulls.unionByName(self._distribution_findings())
 
@@ -461,8 +464,9 @@ class Profile:
     def _distribution_findings(self) -> DataFrame:
         """Largest distance between the cumulative shares of neighbouring loads, in two levels.
 
-        Distinct values are counted first. Sums up to a value are the sums of all lower buckets plus the
-        running sum within the value's own bucket, so neither a load nor a column is summed in one task.
+        Values are counted first, by range with map-side aggregation. The sums of all lower ranges bound the distance
+        inside a range; most ranges are decided by that. Only in the others the values themselves are summed up, so
+        neither a load nor a column is summed in one task.
         """
         spread = [r for r in self.rules if r.distribution]
         if not spread:
@@ -475,24 +479,32 @@ class Profile:
         ahead = F.struct(F.col("next").alias("pair"), F.lit(0).cast("long").alias("cur"), F.col("n").alias("old"))
         sides = F.when(F.col("last"), F.array(here)).otherwise(F.array(here, ahead))
         moved = counts.select("column_name", "v", _range_of(F.col("v")).alias("bucket"), F.explode(sides).alias("s")).select("column_name", "v", "bucket", "s.*")
-        # counted already, so one exchange by range serves sums, running sums and totals
-        moved = moved.repartition("column_name", "pair", "bucket")
-        merged = moved.groupBy("column_name", "pair", "bucket", "v").agg(F.sum("cur").alias("cur"), F.sum("old").alias("old"))
-        inner = Window.partitionBy("column_name", "pair", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        run = merged.select("column_name", "pair", "bucket", F.sum("cur").over(inner).alias("cur"), F.sum("old").over(inner).alias("old"))
-        totals = merged.groupBy("column_name", "pair", "bucket").agg(F.sum("cur").alias("bc"), F.sum("old").alias("bo"))
+        keys = ["column_name", "pair", "bucket"]
+        totals = moved.groupBy(*keys).agg(F.sum("cur").alias("bc"), F.sum("old").alias("bo"))
         outer = Window.partitionBy("column_name", "pair").orderBy("bucket")
         whole = Window.partitionBy("column_name", "pair")
         before = outer.rowsBetween(Window.unboundedPreceding, -1)
         frame = totals.select(
-            "column_name", "pair", "bucket", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("pc"), F.coalesce(F.sum("bo").over(before), F.lit(0)).alias("po"),
-            F.sum("bc").over(whole).alias("n"), F.sum("bo").over(whole).alias("n0"),
-        )
-        on = [run["column_name"] == frame["column_name"], run["pair"].eqNullSafe(frame["pair"]), run["bucket"] == frame["bucket"]]
+            *keys, *[F.coalesce(F.sum(x).over(before), F.lit(0)).cast(WIDE).alias(y) for x, y in (("bc", "pc"), ("bo", "po"))],
+            *[F.sum(x).over(whole).cast(WIDE).alias(y) for x, y in (("bc", "n"), ("bo", "n0"))], F.col("bc").cast(WIDE).alias("bc"), F.col("bo").cast(WIDE).alias("bo"),
+        ).where((F.col("n") > 0) & (F.col("n0") > 0))
         up, down = self.distribution_share
-        gap = F.abs((run["cur"] + frame["pc"]) * frame["n0"] - (run["old"] + frame["po"]) * frame["n"])
-        hits = run.join(frame, on).where((gap * down > frame["n"] * frame["n0"] * up) & (frame["n"] > 0) & (frame["n0"] > 0))
-        return hits.select(run["pair"].alias("load"), run["column_name"], F.lit("distribution").alias("finding")).distinct()
+        lead = lambda cur, old: (cur * F.col("n0") - old * F.col("n")) * down
+        most = F.col("n") * F.col("n0") * up
+        end = F.abs(lead(F.col("pc") + F.col("bc"), F.col("po") + F.col("bo"))) > most
+        inside = (lead(F.col("pc") + F.col("bc"), F.col("po")) > most) | (-lead(F.col("pc"), F.col("po") + F.col("bo")) > most)
+        ranges = materialise(frame.select(*keys, "pc", "po", "n", "n0", end.alias("end"), inside.alias("inside")).where("end or inside"), "ranges")
+        hits = ranges.where("end").select("pair", "column_name").distinct()
+        on = lambda x, y, names: reduce(lambda p, q: p & q, [x[c].eqNullSafe(y[c]) for c in names])
+        open_ = ranges.join(hits, on(ranges, hits, ["column_name", "pair"]), "left_anti")
+        if open_.limit(1).count():
+            open_ = broadcast_within(open_.select(*[F.col(c).alias(f"o_{c}") for c in keys], "pc", "po", "n", "n0"), MAX_LOADS)
+            met = moved.join(open_, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in keys]))
+            sums = met.groupBy(*keys, "v", "pc", "po", "n", "n0").agg(F.sum("cur").alias("cur"), F.sum("old").alias("old"))
+            inner = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            run = sums.select("pair", "column_name", "pc", "po", "n", "n0", F.sum("cur").over(inner).alias("cur"), F.sum("old").over(inner).alias("old"))
+            hits = hits.unionByName(run.where(F.abs(lead(F.col("cur") + F.col("pc"), F.col("old") + F.col("po"))) > most).select("pair", "column_name").distinct())
+        return hits.select(F.col("pair").alias("load"), "column_name", F.lit("distribution").alias("finding"))
 
     def findings(self) -> DataFrame:
         """``load, column_name, finding, key``; key 0 for loads as a whole."""
