@@ -483,6 +483,15 @@ def test_packed_edges(spark):
     assert scores["s", ","].chosen and not scores["s", "|"].chosen and scores["t", ";"].score == 1
 
 
+def test_many_sets_of_delimiters(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 3}", f"a{',;|'[i % 3]}b") for i in range(60)], "nr int, src string, c string")
+    runs = []
+    for limit in (32, 2):
+        monkeypatch.setattr("tributary.operators.packed.LITERAL_SETS", limit)
+        runs.append(sorted(map(tuple, split_packed(df, ["nr"], "src", "c").collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == 120
+
+
 def test_inferred_delimiters_decide(spark):
     cells = [(i, "s", f"a{i};b c") for i in range(9)] + [(10, "s", "x&y (old);7"), (11, "s", "it's 5\" wide;\"q;r\""), (12, "s", "one")]
     df = spark.createDataFrame(cells, "nr int, src string, c string")

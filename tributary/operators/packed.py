@@ -58,9 +58,12 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     inner = F.col("__c")
     bare = F.regexp_replace(inner, "(?s)" + QUOTED, "q")
     kinds = F.regexp_replace(F.regexp_replace(bare, r"[\p{N}][\p{N}_.]*", "9"), r"[\p{L}\p{M}]+", "w")
-    marks = F.regexp_extract_all(F.concat(inner, F.lit(_END)), F.lit(_DECLARED), F.lit(1))
+    # without a quote every character that is no item character separates
+    plain = F.regexp_extract_all(F.regexp_replace(inner, f"[{ITEM}]+", ""), F.lit("(?s)."), F.lit(0))
+    strict = F.regexp_extract_all(F.concat(inner, F.lit(_END)), F.lit(_DECLARED), F.lit(1))
+    marks = F.array_distinct(F.when(inner.contains('"') | inner.contains("'"), F.slice(strict, 1, F.size(strict) - 1)).otherwise(plain))
     cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(inner.rlike(f"[^{ITEM}]"))
-    cells = cells.select("__s", F.array_distinct(F.slice(marks, 1, F.size(marks) - 1)).alias("__m"), kinds.alias("__k"))
+    cells = cells.select("__s", marks.alias("__m"), kinds.alias("__k"))
     per = cells.select("__s", "__k", F.explode("__m").alias("__d"), F.size("__m").alias("__n"))
     pieces = F.split(F.translate("__k", "\\", "/"), F.concat(F.lit("\\Q"), F.translate("__d", "\\", "/"), F.lit("\\E")))
     regular = F.size(F.filter(pieces, lambda p: F.trim(p).rlike(r"^(?:|q|9|w|w-9|w(?: +(?:w|9))*)\z")))
@@ -76,11 +79,28 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     )
 
 
-def items_of(cell: Column, delimiters: Column) -> Column:
-    """The items of an unwrapped cell in order, empty ones included; ``delimiters`` is a text of the characters that separate."""
-    marks = F.concat(F.regexp_replace(F.coalesce(delimiters, F.lit("")), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(_END))
-    one = F.concat(F.lit(rf"(?s)\G *((?:{QUOTED})(?= *+["), marks, F.lit("])|[^"), marks, F.lit("]*+) *+["), marks, F.lit("]"))
-    return F.regexp_extract_all(F.concat(cell, F.lit(_END)), one, F.lit(1))
+#: Sets of delimiters, different ones, whose patterns are compiled once; with more of them each row brings its own.
+LITERAL_SETS = 32
+
+
+def items_of(cell: Column, delimiters: Column, sets: list[str] | None = None) -> Column:
+    """The items of an unwrapped cell in order, empty ones included; ``delimiters`` is a text of the characters that separate.
+
+    ``sets`` may name all texts that ``delimiters`` has.
+    """
+    ended = F.concat(cell, F.lit(_END))
+
+    def split_at(marks: Column) -> Column:
+        inside = F.concat(F.regexp_replace(marks, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(_END))
+        return F.regexp_extract_all(ended, F.concat(F.lit(rf"(?s)\G *((?:{QUOTED})(?= *+["), inside, F.lit("])|[^"), inside, F.lit("]*+) *+["), inside, F.lit("]")), F.lit(1))
+
+    known = F.coalesce(delimiters, F.lit(""))
+    if sets is None:
+        return split_at(known)
+    out = split_at(F.lit(""))
+    for marks in sets:
+        out = F.when(known == marks, split_at(F.lit(marks))).otherwise(out)
+    return out
 
 
 def unquote(item: Column) -> Column:
@@ -105,9 +125,11 @@ def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimit
         raise ValueError("pos and item_text are names of the result; rename the key")
     found = infer_delimiters(df, source, cell, min_score) if delimiters is None else delimiters
     marks = F.array_join(F.array_sort(F.collect_set(F.when(F.col("chosen"), F.col("delimiter")))), "")
-    sets = broadcast_within(materialise(found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d")), "delimiters"), MAX_SOURCES)
+    sets = materialise(found.groupBy(F.col(source).alias("__s")).agg(marks.alias("__d")), "delimiters")
+    different = [r[0] for r in sets.select("__d").where("__d <> ''").distinct().limit(LITERAL_SETS + 1).collect()]
+    sets = broadcast_within(sets, MAX_SOURCES)
     once = df.groupBy(*keys).agg(F.min(F.struct(F.col(cell).alias("__c"), F.col(source).alias("__s"))).alias("__x"))
     rows = once.select(*keys, F.col("__x.__s").alias("__src"), unwrap(F.col("__x.__c")).alias("__cell")).where("__cell <> ''")
     joined = rows.join(sets, F.col("__src").eqNullSafe(F.col("__s")), "left")
-    exploded = joined.select(*keys, F.posexplode(items_of(F.col("__cell"), F.col("__d"))).alias("pos", "__item"))
+    exploded = joined.select(*keys, F.posexplode(items_of(F.col("__cell"), F.col("__d"), different if len(different) <= LITERAL_SETS else None)).alias("pos", "__item"))
     return exploded.select(*keys, "pos", unquote(F.col("__item")).alias("item_text")).where("item_text <> ''")
