@@ -35,6 +35,7 @@ from tributary.runtime import broadcast_within, materialise
 
 #: Bit of each JSON type in a union; 0 is null.
 TYPES = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
+NAMES_OF = {bit: name for name, bit in TYPES.items()}
 #: Characters of paths that a task gathers before it hands them on.
 GATHERED = 1 << 25
 #: Files with renames whose paths may be broadcast; beyond them the records of a file are spread over this many parts.
@@ -52,31 +53,22 @@ KINDS = {
 }
 
 
-def _type_bit(value) -> int:
-    if value is None:
-        return 0
-    if isinstance(value, bool):
-        return 4
-    if isinstance(value, str):
-        return 1
-    if isinstance(value, (int, float)):
-        return 2
-    return 8 if isinstance(value, dict) else 16
-
-
 def _walk(value, path: str, out: dict) -> int:
-    """OR the type of every key below ``value`` into ``out``; how many characters new paths have."""
+    """OR the type of every key below ``value`` into ``out``, by path and key; how many characters new paths have."""
     todo, long = [(value, path)], 0
     while todo:
         value, path = todo.pop()
         if isinstance(value, dict):
+            level = out.setdefault(path, {})
             for k, v in value.items():
-                p = f"{path}.{k}"
-                if p not in out:
-                    long += len(p)
-                out[p] = out.get(p, 0) | _type_bit(v)
-                if isinstance(v, (dict, list)):
-                    todo.append((v, p))
+                bit, had = BITS[type(v)], level.get(k)
+                if had is None:
+                    level[k] = bit
+                    long += len(path) + len(k)
+                elif had | bit != had:
+                    level[k] = had | bit
+                if bit >= 8:
+                    todo.append((v, f"{path}.{k}"))
         else:
             todo += [(v, f"{path}[]") for v in value if isinstance(v, (dict, list))]
     return long
@@ -113,6 +105,9 @@ def _whole(token: str) -> int | _Number:
         return _number(token)
 
 
+#: Bits of the values that the parsers give.
+BITS = {type(None): 0, str: 1, int: 2, float: 2, _Number: 2, bool: 4, dict: 8, list: 16}
+
 _BLANK = re.compile(r"[ \t\n\r]*")
 _TOKEN = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null")
 _WORDS = {"true": True, "false": False, "null": None}
@@ -175,13 +170,31 @@ def _key(text: str, at: int, blank) -> tuple[str, int]:
     return key, blank(at + 1)
 
 
+class _Decoder:
+    """The interpreter's JSON decoder, made once per process; it does not travel."""
+
+    def __init__(self, **options):
+        self.options, self.decoder = options, None
+
+    def __getstate__(self) -> dict:
+        return {"options": self.options, "decoder": None}
+
+    def __call__(self, text: str):
+        if self.decoder is None:
+            self.decoder = json.JSONDecoder(**self.options)
+        return self.decoder.decode(text)
+
+
+_EXACT, _ROUGH = _Decoder(parse_constant=_no_number, parse_float=_number), _Decoder(parse_constant=_no_number)
+
+
 def _document(payload: str | None, exact: bool = True):
     """The object in a line; NULL if the line is no JSON object. Without ``exact``, for types only, numbers are rounded."""
     if payload is None:
         return None
     try:
         try:
-            record = json.loads(payload, parse_constant=_no_number, parse_float=_number if exact else None)
+            record = (_EXACT if exact else _ROUGH)(payload)
         except RecursionError:
             record = _deep(payload)
         except json.JSONDecodeError:
@@ -193,14 +206,26 @@ def _document(payload: str | None, exact: bool = True):
     return record if isinstance(record, dict) else None
 
 
-def _pick(record, path: str):
-    """The value at ``path``; behind an array, the list over its elements, NULL if no element has one."""
+def _steps(path: str) -> list[tuple[str, int]]:
+    """Keys of a path, each with the number of arrays behind it."""
+    steps = []
+    for step in path.split("."):
+        name = step
+        while name.endswith("[]"):
+            name = name[:-2]
+        steps.append((name, (len(step) - len(name)) // 2))
+    return steps
+
+
+def _pick(record, steps: list[tuple[str, int]]):
+    """The value at the end of ``steps`` of a path; behind an array, the list over its elements, NULL if no element has one."""
+    if not any(arrays for _, arrays in steps):
+        for step, _ in steps:
+            record = record.get(step) if isinstance(record, dict) else None
+        return record
     top = [record]
     slots, spread = [(top, 0)], []
-    for step in path.split("."):
-        arrays = 0
-        while step.endswith("[]"):
-            step, arrays = step[:-2], arrays + 1
+    for step, arrays in steps:
         for holder, i in slots:
             holder[i] = holder[i].get(step) if isinstance(holder[i], dict) else None
         for _ in range(arrays):
@@ -221,7 +246,9 @@ def file_unions(df: DataFrame, feed: str, file: str, payload: str, root: str) ->
     """``feed, file, paths`` with ``paths`` a map from path to type bits, for every file."""
 
     def gathered(seen: dict) -> pa.RecordBatch:
-        rows = [(fd, fl, _sound(p) if p else p, t) for (fd, fl), out in seen.items() for p, t in (out or {None: 0}).items()]
+        rows = []
+        for (fd, fl), out in seen.items():
+            rows += [(fd, fl, _sound(f"{p}.{k}"), bits) for p, level in out.items() for k, bits in level.items()] or [(fd, fl, None, 0)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["feed", "file", "path", "bits"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +315,7 @@ def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: s
     tasks = tasks.select("feed", "of", "side", "paths", "payload")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: dict = {}
         for batch in batches:
             rows = []
             for fd, of, side, paths, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -296,7 +324,9 @@ def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: s
                     continue
                 own = _digest(record[record_id])
                 for p in paths:
-                    value = _pick(record, p)
+                    if p not in steps:
+                        steps[p] = _steps(p)
+                    value = _pick(record, steps[p])
                     if value is not None:
                         rows.append((fd, of, side, p, own, _digest(value)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
@@ -406,7 +436,8 @@ def _sound(text: str) -> str:
 
 def _digest(value) -> bytes:
     """128 bits of a value's canonical text, strings apart from all else."""
-    return hashlib.blake2b(_json_text(value, "", {}).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    text = _json_text(value, "", {}) if isinstance(value, (dict, list)) else json.dumps(value, ensure_ascii=False) if isinstance(value, str) else _scalar_text(value)
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _json_text(value, path: str, names: dict[str, str]) -> str:
@@ -471,7 +502,7 @@ def _cells(value, names: dict[str, str], branches: set[tuple[str, str]]) -> dict
             if v is not None and at in names:
                 text = _sound(_json_text(v, at, names) if nested else _scalar_text(v))
                 _put(row, names[at], inside, text)
-                if (names[at], kind := next(t for t, bit in TYPES.items() if bit == _type_bit(v))) in branches:
+                if (names[at], kind := NAMES_OF[BITS[type(v)]]) in branches:
                     _put(row, (names[at], kind), inside, _float(v) if kind == "number" else v if kind == "boolean" else text)
                     if kind == "number":
                         for exact, kept in (("integer", _integer(v)), ("decimal", _decimal(text))):
