@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,10 +83,15 @@ def remove_spans(docs: DataFrame, doc_id: str, text: str, leaks: DataFrame, item
     return hit.mapInArrow(cut, "id long, cleaned string, removed long").withColumnRenamed("id", doc_id)
 
 
-@lru_cache(maxsize=1 << 16)
+#: Whether a character counts, of those met so far.
+_known: dict[str, bool] = {}
+
+
 def _counts(c: str) -> bool:
-    kind = unicodedata.category(c)
-    return kind[0] == "L" or kind == "Nd"
+    if c not in _known:
+        kind = unicodedata.category(c)
+        _known[c] = kind[0] == "L" or kind == "Nd"
+    return _known[c]
 
 
 def letters_of(text: str) -> tuple[str, list[int]]:
