@@ -174,3 +174,10 @@ ORACLE["p5_delimiters"] = r"""
              h as (select src, delimiter, case when n <= 1 then 1.0::double else 0.0::double end as sole, cast(len(ps) as double) as size, len(list_filter(ps, lambda x: regexp_full_match(trim(x, ' '), '|q|9|w|w-9|w(?: +(?:w|9))*'))) as good from g),
              s as (select src, delimiter, count(*) as cells, avg(sole) * sqrt(avg(size) * avg(size) / avg(size * size)) as consistency, avg(good / size) as regularity from h group by src, delimiter)
         select src, delimiter, cells, round(consistency, 8) as consistency, round(regularity, 8) as regularity, round(consistency * regularity, 8) as score, consistency * regularity >= 0.25 as chosen from s"""
+ORACLE["p3_ranges"] = r"""
+        with l as (select dt, first(latitude order by cast(latitude as double), latitude) as lo, last(latitude order by cast(latitude as double), latitude) as hi
+                   from mock_data where regexp_full_match(latitude, '-?[0-9]+(\.[0-9]+)?') group by dt)
+        select dt, 'email' as column_name, min(email) as lowest, max(email) as highest from mock_data group by dt
+        union all select dt, 'gender', min(gender), max(gender) from mock_data group by dt
+        union all select dt, 'version', cast(min(version) as varchar), cast(max(version) as varchar) from mock_data group by dt
+        union all select d.dt, 'latitude', lo, hi from (select distinct dt from mock_data) d left join l using (dt)"""
