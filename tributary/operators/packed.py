@@ -50,6 +50,10 @@ _END = "\x01"
 _DECLARED = rf"(?s)\G *(?:(?:{QUOTED})|[{ITEM}]*+) *+([^{ITEM}])"
 
 
+#: A regular piece between marks: nothing, a quoted item, a number, words, or a word with a number.
+_PIECE = r"(?:\A|(?<=\x02)) *(?:q|9|w-9|w(?: +(?:w|9))*|) *(?=\x02|\z)"
+
+
 def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = MIN_SCORE) -> DataFrame:
     """``source, delimiter, cells, consistency, regularity, score, chosen`` of every candidate.
 
@@ -65,10 +69,12 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(inner.rlike(f"[^{ITEM}]"))
     cells = cells.select("__s", marks.alias("__m"), kinds.alias("__k"))
     per = cells.select("__s", "__k", F.explode("__m").alias("__d"), F.size("__m").alias("__n"))
-    pieces = F.split(F.translate("__k", "\\", "/"), F.concat(F.lit("\\Q"), F.translate("__d", "\\", "/"), F.lit("\\E")))
-    regular = F.size(F.filter(pieces, lambda p: F.trim(p).rlike(r"^(?:|q|9|w|w-9|w(?: +(?:w|9))*)\z")))
-    size = F.size(pieces).cast("double")
-    per = per.select("__s", "__d", (F.col("__n") <= 1).cast("double").alias("__sole"), (regular / size).alias("__r"), size.alias("__p"))
+    # the candidate becomes one fixed mark, so that the pattern of a regular piece is the same for all
+    marked = per.select("__s", "__d", "__n", F.expr("translate(__k, __d, '\u0002')").alias("__x"))
+    size = (F.length("__x") - F.length(F.regexp_replace("__x", "\x02", "")) + 1).cast("double")
+    regular = F.regexp_count("__x", F.lit(_PIECE))
+    per = marked.select("__s", "__d", "__n", size.alias("__p"), regular.alias("__g"))
+    per = per.select("__s", "__d", (F.col("__n") <= 1).cast("double").alias("__sole"), (F.col("__g") / F.col("__p")).alias("__r"), "__p")
     scored = per.groupBy("__s", "__d").agg(
         F.count("*").alias("cells"), (F.avg("__sole") * F.sqrt(F.avg("__p") * F.avg("__p") / F.avg(F.col("__p") * F.col("__p")))).alias("consistency"), F.avg("__r").alias("regularity")
     )
