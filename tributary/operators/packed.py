@@ -68,7 +68,8 @@ def infer_delimiters(df: DataFrame, source: str, cell: str, min_score: float = M
     marks = F.array_distinct(F.when(inner.contains('"') | inner.contains("'"), F.slice(strict, 1, F.size(strict) - 1)).otherwise(plain))
     cells = df.select(F.col(source).alias("__s"), unwrap(F.col(cell)).alias("__c")).where(inner.rlike(f"[^{ITEM}]"))
     cells = cells.select("__s", marks.alias("__m"), kinds.alias("__k"))
-    per = cells.select("__s", "__k", F.explode("__m").alias("__d"), F.size("__m").alias("__n"))
+    # outer, or a filter on the list would be moved below and have all patterns matched twice
+    per = cells.select("__s", "__k", F.explode_outer("__m").alias("__d"), F.size("__m").alias("__n")).where("__d is not null")
     # the candidate becomes one fixed mark, so that the pattern of a regular piece is the same for all
     marked = per.select("__s", "__d", "__n", F.expr("translate(__k, __d, '\u0002')").alias("__x"))
     size = (F.length("__x") - F.length(F.regexp_replace("__x", "\x02", "")) + 1).cast("double")
@@ -137,5 +138,5 @@ def split_packed(df: DataFrame, keys: list[str], source: str, cell: str, delimit
     once = df.groupBy(*keys).agg(F.min(F.struct(F.col(cell).alias("__c"), F.col(source).alias("__s"))).alias("__x"))
     rows = once.select(*keys, F.col("__x.__s").alias("__src"), unwrap(F.col("__x.__c")).alias("__cell")).where("__cell <> ''")
     joined = rows.join(sets, F.col("__src").eqNullSafe(F.col("__s")), "left")
-    exploded = joined.select(*keys, F.posexplode(items_of(F.col("__cell"), F.col("__d"), different if len(different) <= LITERAL_SETS else None)).alias("pos", "__item"))
+    exploded = joined.select(*keys, F.posexplode_outer(items_of(F.col("__cell"), F.col("__d"), different if len(different) <= LITERAL_SETS else None)).alias("pos", "__item"))
     return exploded.select(*keys, "pos", unquote(F.col("__item")).alias("item_text")).where("item_text <> ''")
