@@ -51,7 +51,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         F.when(i > 0, F.get("__tiles", i - 1)).otherwise("").alias("before"), tile.alias("tile"),
         F.coalesce(F.get("__tiles", i + 1), F.lit("")).alias("after"),
     ))
-    windows = tiles.select("__doc", F.explode(F.filter(around, lambda w: F.length(w["tile"]) >= gram)).alias("w"))
+    # outer, or a filter on the list would be moved below and have the list made twice
+    windows = tiles.select("__doc", F.explode_outer(F.filter(around, lambda w: F.length(w["tile"]) >= gram)).alias("w")).where("w is not null")
     windows = windows.withColumn("__h", F.xxhash64(F.substring(F.col("w.tile"), 1, gram)))
     hits = windows.join(grams, "__h", "left_semi")
     # the run begins k characters before the gram
