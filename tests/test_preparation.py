@@ -18,6 +18,7 @@ from tributary.operators.intervals import IntervalStore, merge_table, newest_cov
 from tributary.operators.nested import flatten_records
 from tributary.operators.packed import infer_delimiters, split_packed
 from tributary.operators.profile import ColumnRule, Profile
+from tributary.runtime import materialise
 
 KIND = "id long, extra string, r struct<s:string,n:double,l:array<struct<k:string,m:map<string,int>,l:array<struct<v:int>>>>,tags:array<string>>"
 
@@ -203,6 +204,18 @@ def test_renames_without_a_broadcast(spark, monkeypatch):
     assert changes(spark, rows) == {(1, 2, "renamed", "attributes.b", "attributes.a"), (1, 2, "renamed", "attributes.c[].y", "attributes.c[].x")}
 
 
+def test_many_files_with_renames_are_not_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_SIDES", 0)
+    rows = [(1, f, line(i, **{"a" if f == 1 else "b": i})) for f in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "feed int, file int, payload string")
+    files = materialise(drift.neighbour_changes(file_unions(df, "feed", "file", "payload", "attributes")))
+    for heavy in (20_000, 10):
+        monkeypatch.setattr(drift, "HEAVY", heavy)
+        found = drift._renames(df, files, "feed", "file", "payload", "id")
+        assert re.search(r"SortMergeJoin \[feed#\w+, at#\w+, salt#\w+\]", found._jdf.queryExecution().executedPlan().toString())
+        assert found.collect() == [(1, 2, "attributes.b", "attributes.a")]
+
+
 def test_names_used_at_once_stay_apart(spark):
     rows = [(1, 1, line(1, a="x")), (1, 2, line(1, b="x")), (2, 1, line(1, a="p", b="q"))]
     df = spark.createDataFrame(rows, "feed int, file int, payload string")

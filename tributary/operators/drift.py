@@ -38,8 +38,9 @@ TYPES = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
 NAMES_OF = {bit: name for name, bit in TYPES.items()}
 #: Characters of paths that a task gathers before it hands them on.
 GATHERED = 1 << 25
-#: Files with renames whose paths may be broadcast; beyond them the records of a file are spread over this many parts.
-MAX_SIDES, SALT = 100_000, 64
+#: Files with renames whose paths, and bytes of these, may be broadcast. Beyond them both sides are shuffled, and the records
+#: of files of more than ``HEAVY`` lines are spread over ``SALT`` parts.
+MAX_SIDES, SIDE_BYTES, HEAVY, SALT = 100_000, 32 << 20, 20_000, 64
 #: Digits up to which numbers are written without an exponent.
 PLAIN_DIGITS = 400
 #: Records per batch of the unified table.
@@ -292,8 +293,8 @@ def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: s
     """``feed, file, new_path, old_path`` of ceased and new siblings with equal values in all common records.
 
     Only files with such siblings are read again, and only the values of these paths travel, as hashes. What to look
-    for in which file is broadcast after a count; beyond ``MAX_SIDES`` the records of one file are spread over ``SALT``
-    parts, so no file is read or joined by one task.
+    for in which file is broadcast after a count; beyond ``MAX_SIDES`` it is shuffled and never sent to the driver, once for a
+    file and ``SALT`` times for one of more than ``HEAVY`` lines, so no such file is joined by one task.
     """
     parents = lambda c: F.array_distinct(F.transform(c, _parent))
     common = F.array_intersect(parents(F.col("ceased")), parents(F.col("added")))
@@ -305,13 +306,18 @@ def _renames(df: DataFrame, changes: DataFrame, feed: str, file: str, payload: s
         F.struct(F.col("old_file").alias("at"), F.col("file").alias("of"), F.lit("o").alias("side"), F.col("ceased").alias("paths")),
     )).alias("s")).select("feed", "s.*")
     source = df.select(F.col(feed).cast("long").alias("feed"), F.col(file).cast("long").alias("at"), F.col(payload).alias("payload"))
-    small = broadcast_within(sides, MAX_SIDES)
+    small = broadcast_within(sides, MAX_SIDES, SIDE_BYTES)
     if small is not sides:
         tasks = source.join(small, ["feed", "at"])
     else:
-        sides = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-        source = source.withColumn("salt", F.pmod(F.xxhash64("payload", F.monotonically_increasing_id()), F.lit(SALT)).cast("int"))
-        tasks = source.join(sides, ["feed", "at", "salt"])
+        heavy = source.groupBy("feed", "at").count().where(F.col("count") > HEAVY).select("feed", "at", F.lit(SALT).alias("parts"))
+        heavy = broadcast_within(materialise(heavy, "heavy"), MAX_SIDES)
+        parts = F.coalesce("parts", F.lit(1))
+        sides = sides.join(heavy, ["feed", "at"], "left").select(*sides.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        salt = F.pmod(F.xxhash64("payload", F.monotonically_increasing_id()), parts).cast("int")
+        source = source.join(heavy, ["feed", "at"], "left").select(*source.columns, salt.alias("salt"))
+        # by the size of its files, compressed and not yet exploded, Spark would take the paths for a table to broadcast
+        tasks = source.join(sides.hint("merge"), ["feed", "at", "salt"])
     tasks = tasks.select("feed", "of", "side", "paths", "payload")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
