@@ -9,8 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tributary.llm import queries
-from tributary.llm.encodings import CHAINS, LOST, Model, _first_alike, find_garbled, garble, restore, train
+from tributary.llm import encodings, queries
+from tributary.llm.encodings import CHAINS, LOST, Model, _first_alike, features, find_garbled, garble, restore, train
 from tributary.llm.leakage import drop_leaking, find_leaks, letters_of, normalise, remove_shared, remove_spans
 from tributary.llm.packing import best_fit_decreasing, count_tokens, encoder, pack, TOKENIZER
 from tributary.llm.topn import top_n
@@ -290,6 +290,30 @@ def test_garbled_edges(spark, corpus):
     assert Model.from_state(model.state()).text("GrÃ¶ÃŸe") is not None
 
 
+def test_all_words_of_all_texts_are_counted(spark):
+    letters = F.translate(F.format_string("%05d", "id"), "0123456789", "abcdefghij")
+    docs = spark.range(45_000, numPartitions=4).select(F.concat(F.lit("naïve `quötes` "), letters, F.lit("ß")).alias("t"))
+    model = train(docs, "t")
+    assert len(model.cores) == 45_001 and model.cores["naïve"] == 45_000 and set(model.cores.values()) == {1, 45_000}
+    words = Counter({"Größe,": 3, "naïve": 2, "日本": 1})
+    counts, chars = encodings._tally(spark.createDataFrame(list(words.items()), "w string, n long").repartition(3))
+    assert chars == sum((Counter({c: k * n for c, k in Counter(w).items()}) for w, n in words.items()), Counter())
+    for k, chain in enumerate([None, *CHAINS]):
+        bad = {w: w if chain is None else garble(w, chain) for w in words}
+        want = Counter(b for w, n in words.items() if bad[w] and (k == 0 or bad[w] != w) for b in features(bad[w]).tolist() for _ in range(n))
+        assert {int(b): n for b, n in enumerate(counts[k].tolist()) if n} == want
+
+
+def test_words_are_judged_in_tables_as_by_the_model(spark, corpus):
+    rng = random.Random(13)
+    bad = [" ".join((garble(w, chain) or w) if rng.random() < 0.5 else w for w in t.split()) for t in corpus[:90] for chain in ("utf_8>cp1252", "cp1250>cp1252", "koi8_r>cp1251")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus + bad + ["Gr\ufffde", "`Ã¶` Gr\ufffd\ufffde fÃ¤llt", "x" * 70 + "fÃ¤llt"])], "doc_id long, text string")
+    model = train(df, "text")
+    want = {r.doc_id: found for r in df.collect() if (found := model.text(r.text))}
+    got = {r.doc_id: (sorted(r.chains + [LOST] * r.lost), r.restored) for r in find_garbled(df, "doc_id", "text", model).collect()}
+    assert got == {i: (sorted(chains), back) for i, (chains, back) in want.items()} and len(got) > 200
+
+
 def test_lost_characters_are_told_apart_from_chains(spark, corpus):
     model = train(spark.createDataFrame([(t,) for t in corpus], "text string"), "text")
     rows = spark.createDataFrame([(1, "Gr\ufffd\ufffde"), (2, "GrÃ¶ÃŸe fÃ¤llt"), (3, "Gr\ufffd\ufffde fÃ¤llt über")], "doc_id long, text string")
