@@ -1,9 +1,14 @@
 """The registered queries against their SQL, on the smallest tables."""
 
+import json
 import math
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
+import pyspark
 import pytest
 
 from tributary import component_oracle, component_queries, oracle, preparation_oracle, preparation_queries, queries
@@ -45,3 +50,35 @@ def test_query_gives_what_its_sql_gives(spark, duck, small, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_other_queries_run(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+ON_EXECUTORS = """
+import json, sys
+from pyspark.sql import SparkSession
+from tributary import component_queries
+
+name, data, base = sys.argv[1:]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.host": "127.0.0.1",
+        "spark.sql.session.timeZone": "UTC", "spark.sql.warehouse.dir": base + "/warehouse", "spark.checkpoint.dir": base + "/shared"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+df = component_queries.QUERIES[name](spark, data)
+print(json.dumps([df.columns, [list(r) for r in df.collect()]]))
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("name", ["jdbc_incremental"])
+def test_databases_are_reached_from_executors_in_other_processes(duck, small, tmp_path, name):
+    home = tmp_path / "home"  # executors write below it
+    (home / "work").mkdir(parents=True)
+    for path in Path(pyspark.__file__).parent.iterdir():
+        if path.name != "work":
+            (home / path.name).symlink_to(path)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "TMPDIR": str(tmp_path)}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    run = subprocess.run([sys.executable, "-c", ON_EXECUTORS, name, small, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+    columns, rows = json.loads(run.stdout.splitlines()[-1])
+    found = duck.execute(SQL[name])
+    assert table(columns, rows) == table([c[0] for c in found.description], found.fetchall())
+    assert not list(tmp_path.glob("tributary-*"))

@@ -22,6 +22,7 @@ from tributary.plans.spec import COMPONENTS, build_pipeline, register
 from tributary.runtime import read_table, shared_dir
 from tributary.sources import BoundsLog, CSVExtractor, HiveLoader, JDBCExtractorFullLoad, JDBCExtractorIncremental, JDBCLoader, JSONExtractor
 from tributary.sources.files import fix_suffix, infer_input_path_from_partition, remove_hdfs_prefix
+from tributary.sources.served import serve, served_folder
 
 
 def _name(stem: str) -> str:
@@ -64,11 +65,25 @@ def input_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _database(spark: SparkSession, table: DataFrame, name: str) -> dict:
-    """An embedded database in this process's memory, for sessions that run in one process, with ``table`` in it."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.method", "java.io.OutputStream.nullOutputStream")
-    options = {"url": f"jdbc:derby:memory:{_name('db')};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver", "user": "app", "password": "app"}
+    """An embedded database on this process's disk with ``table`` in it; executors in other processes have it served by this one."""
+    jvm = spark._jvm
+    jvm.java.lang.System.setProperty("derby.stream.error.method", "java.io.OutputStream.nullOutputStream")
+    url, driver = f"jdbc:derby:directory:{served_folder()}/{_name('db')};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    options = {"url": url, "driver": driver, "user": "app", "password": "app"}
+    if not spark.sparkContext._jsc.sc().isLocal():
+        options = serve(spark, f"{url};user=app;password=app")
     # unquoted names are upper case there
-    table.toDF(*[c.upper() for c in table.columns]).write.format("jdbc").options(**options, dbtable=name).save()
+    table = table.toDF(*[c.upper() for c in table.columns])
+    table.limit(0).write.format("jdbc").options(**options, dbtable=name).save()
+    # tasks that write take turns, for as long as it takes: locks of single rows would fill the memory of this process
+    connection = jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(f"{url};user=app;password=app", jvm.java.util.Properties())
+    try:
+        statement = connection.createStatement()
+        statement.execute(f"alter table {name} locksize table")
+        statement.execute("call syscs_util.syscs_set_database_property('derby.locks.waitTimeout', '-1')")
+    finally:
+        connection.close()
+    table.write.format("jdbc").options(**options, dbtable=name).mode("append").save()
     return options
 
 
