@@ -67,7 +67,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize("name", ["jdbc_incremental", "jdbc_parallel"])
+@pytest.mark.parametrize("name", ["jdbc_incremental", "jdbc_parallel", "jdbc_sink"])
 def test_databases_are_reached_from_executors_in_other_processes(duck, small, tmp_path, name):
     home = tmp_path / "home"  # executors write below it
     (home / "work").mkdir(parents=True)
